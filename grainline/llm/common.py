@@ -46,6 +46,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session, for clusters on which it isn't installed."""
+    import shutil
+    from pathlib import Path
+
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if getattr(context, "_grainline_shipped", False):
+        return
+    top = Path(tempfile.mkdtemp(prefix="spark-"))
+    shutil.copytree(root / "grainline", top / "src" / "grainline", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(top / "grainline"), "zip", top / "src"))
+    context._grainline_shipped = True
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -126,8 +140,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 
-    Each round maps every node to its smallest neighbour and contracts the edges; the nodes that are left
-    at least halve, so rounds grow with the logarithm of the largest component. No node or edge passes the driver.
+    Each round maps every node to its smallest neighbour and contracts the edges, until none is left.
+    No node or edge passes the driver.
     """
     spark = edges.sparkSession
     live = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
