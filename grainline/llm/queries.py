@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.llm import exact_dedup, mixing, packing, topk_search
-from grainline.llm.common import WORD, ship
+from grainline.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_rollup, topk_search
+from grainline.llm.common import WORD, shared_dir, ship, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,32 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come; a tenth is counted anew by a second tokenizer version, twice by mistake; a seventeenth goes."""
+    counts = [token_rollup.token_count(F.col("text"), v).alias(c) for v, c in (("words-1", "words"), ("alnum-2", "alnum"))]
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts), "counted")
+    anew, goes = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)), F.coalesce(F.col("doc_id") % 17 == 0, F.lit(False))
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1", token_rollup.signed(docs, "words-1", 1, "words"))
+    revised = token_rollup.signed(docs.where(anew), "words-1", -1, "words").union(token_rollup.signed(docs.where(anew), "alnum-2", 1, "alnum"))
+    rollup.commit("2", revised)
+    rollup.commit("2", revised)
+    gone = docs.where(goes)
+    rollup.commit("3", token_rollup.signed(gone.where(~anew), "words-1", -1, "words").union(token_rollup.signed(gone.where(anew), "alnum-2", -1, "alnum")))
+    return rollup.totals()
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = language_id.identify(docs, F.coalesce(~held_out, F.lit(False)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op7_best_fit_packing, op8_topk_search, op10_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -55,6 +82,11 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target,
   ((epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r""",
+    "op3_token_rollup": rf"""
+WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN 'alnum-2' ELSE 'words-1' END AS tokenizer_version,
+        CASE WHEN doc_id % 10 = 0 THEN len(coalesce(regexp_extract_all(text, '[A-Za-z0-9]+'), [])) ELSE len(coalesce(regexp_extract_all(text, '{WORD}'), [])) END AS n
+      FROM documents WHERE doc_id % 17 <> 0)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM d GROUP BY ALL""",
     "op8_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
