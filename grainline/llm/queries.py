@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_rollup, topk_search
+from grainline.llm import exact_dedup, language_id, mixing, near_dedup, packing, secret_scan, token_rollup, topk_search
 from grainline.llm.common import WORD, shared_dir, ship, stored
 
 
@@ -57,12 +57,16 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op10_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op9_near_dedup, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
