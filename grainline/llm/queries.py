@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.llm import exact_dedup, language_id, mixing, near_dedup, packing, secret_scan, token_rollup, topk_search
+from grainline.llm import exact_dedup, katz, language_id, mixing, near_dedup, packing, secret_scan, token_rollup, topk_search
 from grainline.llm.common import WORD, shared_dir, ship, stored
 
 
@@ -43,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op9_near_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op5_lm_score, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op9_near_dedup, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
