@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.llm import exact_dedup, katz, language_id, mixing, near_dedup, packing, secret_scan, token_rollup, topk_search
+from grainline.llm import exact_dedup, katz, language_id, mixing, near_dedup, packing, secret_scan, suffix_dedup, token_rollup, topk_search
 from grainline.llm.common import WORD, shared_dir, ship, stored
 
 
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come; a tenth is counted anew by a second tokenizer version, twice by mistake; a seventeenth goes."""
     counts = [token_rollup.token_count(F.col("text"), v).alias(c) for v, c in (("words-1", "words"), ("alnum-2", "alnum"))]
@@ -70,7 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op4_language_id, op5_lm_score, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op9_near_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_token_rollup, op4_language_id, op5_lm_score, op6_secret_scan, op7_best_fit_packing, op8_topk_search, op9_near_dedup, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
