@@ -11,6 +11,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,41 +25,64 @@ from pyspark.sql import functions as F
 from grainline.llm.common import chunks, stored, text_buffer
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Words whose ids a Python worker remembers.
-MEMORY_WORDS = 300_000
+#: Pre-tokens whose ids a Python worker remembers, and bytes of text that it codes at once.
+MEMORY_WORDS, CHUNK = 150_000, 1 << 20
 #: Pieces of one length that one ranking bucket holds, about.
 BUCKET_PIECES = 50_000
-_known: dict[str, dict[str, bytes]] = {}
+_coders: dict[str, Coder] = {}
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Coder:
+    """A tokenizer file's ids, exactly, with the ids of each distinct pre-token made once where that is safe.
 
-    return Tokenizer.from_file(path)
+    In texts of printable Latin characters and simple white space, normalising is lower-casing, and the pre-tokens are
+    those of ``pattern``; the model is asked for each pre-token alone. Any other text goes through the tokenizer whole.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        letters, digits = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t\\n\\r {letters}{digits}]+")
+        self.safe = re.compile("[\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as themselves
+        other = iter(range(256, 512))
+        self.letter = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+        self.model, self.known = self.whole.model, {}
+
+    def _ids(self, token: str) -> bytes:
+        plain = token if token.isascii() else "".join([self.letter[b] for b in token.encode()])
+        return np.array([x.id for x in self.model.tokenize(plain)], "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
+        split = [None if self.special(x) else self.pattern.findall(x.lower()) for x in texts]
+        need = set().union(*(x for x in split if x is not None))
+        ids = {w: self.known[w] for w in need & self.known.keys()}
+        new = {w: self._ids(w) for w in need - ids.keys()}
+        if len(self.known) < MEMORY_WORDS:
+            self.known |= new
+        ids |= new
+        return [np.array(self.whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(map(ids.__getitem__, own)) for x, own in zip(texts, split, strict=True)]
+
+    def special(self, text: str) -> bool:
+        return self.safe.fullmatch(text) is None or "<|" in text
 
-def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the document's ids and a separator, cut only beyond capacity.
 
-    The vocabulary drops white space between words, so ids are made for each distinct word once and joined.
-    """
+def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): the document's ids and a separator, cut only beyond capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _tokenizer(tokenizer_path), _known.setdefault(tokenizer_path, {})
-        end = np.array([SEPARATOR], "<u4").tobytes()
+        if tokenizer_path not in _coders:
+            _coders[tokenizer_path] = Coder(tokenizer_path)
+        coder, end = _coders[tokenizer_path], np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            for i, _, data, offsets in chunks(*text_buffer(batch.column(1))):
-                words = [data[a:b].tobytes().decode().replace("\n", " ").split(" ") for a, b in zip(offsets, offsets[1:], strict=False)]
-                need = set().union(*words)
-                if len(known) > MEMORY_WORDS:
-                    known.clear()
-                new = list(need - known.keys())
-                for w, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            for i, _, data, offsets in chunks(*text_buffer(batch.column(1)), limit=CHUNK):
                 out: list[tuple] = []
-                for row, own in enumerate(words, i):
-                    all_ids = b"".join(map(known.__getitem__, own)) + end
+                for row, own in enumerate(coder([data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)]), i):
+                    all_ids = own + end
                     for piece, at in enumerate(range(0, len(all_ids), 4 * capacity)):
                         part = all_ids[at : at + 4 * capacity]
                         out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
