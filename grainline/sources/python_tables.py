@@ -50,7 +50,7 @@ class DuckDBReader(FileTableReader):
 
         connection = duckdb.connect(self.options["path"], read_only=True)
         try:
-            yield from connection.execute(self.statement(partition.value)).fetch_record_batch(BATCH)
+            yield from connection.sql(self.statement(partition.value)).to_arrow_reader(BATCH)
         finally:
             connection.close()
 
@@ -89,7 +89,7 @@ class DuckDBTable(DataSource):
 
         connection = duckdb.connect(self.options["path"], read_only=True)
         try:
-            found = connection.execute(f"select * from {quoted(self.options['relation'])} limit 0").to_arrow_table().schema
+            found = connection.sql(f"select * from {quoted(self.options['relation'])} limit 0").to_arrow_table().schema
         finally:
             connection.close()
         out = StructType()

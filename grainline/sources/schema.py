@@ -11,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Scalar names and their Arrow types, where there is one.
 SCALARS = {
@@ -186,13 +187,7 @@ def spark_schema(schema: TableSchema) -> T.StructType:
 
 def from_spark(schema: T.StructType) -> TableSchema:
     """The logical schema that Spark's own types tell; widths and names that Spark doesn't keep are the usual ones."""
-    return from_arrow(pa.schema([pa.field(f.name, _to_arrow(f.dataType), f.nullable) for f in schema]))
-
-
-def _to_arrow(t: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(t, timezone="UTC")
+    return from_arrow(pa.schema([pa.field(f.name, to_arrow_type(f.dataType), f.nullable) for f in schema]))
 
 
 @dataclass(frozen=True)
