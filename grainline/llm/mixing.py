@@ -6,7 +6,8 @@ without replacement: each document has the key -ln(u) / quality, and the documen
 add up to the rest are taken once more. Keys are cut into ranges, summed per source and range; only the one range of a
 source that the rest ends in is sorted, so that no source is gathered in a task.
 
-A null text has size 0; a null source is a source, sorted last; repeated rows are drawn together; a null or unusable quality counts as the smallest; an empty table gives an empty result.
+A null text has size 0; a null source is a source, sorted last; repeated rows are drawn together; a null or unusable quality counts as the smallest; an empty table gives an empty result;
+names of columns that begin with grain_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -91,10 +92,11 @@ def cuts(rows: DataFrame, budget: float = BUDGET, weights: tuple[float, ...] = W
 
 
 def decided(rows: DataFrame, cut: DataFrame, source: Column) -> DataFrame:
-    """keyed rows with source_size, target and epochs."""
+    """keyed rows with grain_epochs, and cuts' other columns as grain_ ones."""
+    cut = cut.select(*[F.col(c).alias(f"grain_{c}") for c in cut.columns])
     small = F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut
-    epochs = F.col("full") + F.when(F.col("grain_key") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(small, source.eqNullSafe(F.col("s"))).withColumn("epochs", epochs)
+    epochs = F.col("grain_full") + F.when(F.col("grain_key") <= F.col("grain_cut"), 1).otherwise(0)
+    return rows.withColumn("grain_from", source).join(small, F.col("grain_from").eqNullSafe(F.col("grain_s"))).withColumn("grain_epochs", epochs)
 
 
 def mix(docs: DataFrame, size: Column | None = None, quality: Column | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
@@ -105,7 +107,10 @@ def mix(docs: DataFrame, size: Column | None = None, quality: Column | None = No
     rows = keyed(docs, size, quality, seed, id_col, text_col)
     rows = stored(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), "grain_size", "grain_key"), "keys")
     out = decided(rows, cuts(rows, **shares), F.col("source"))
-    return out.select("doc_id", "source", F.col("grain_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("grain_size")).alias("taken"), "epochs")
+    return out.select(
+        "doc_id", "source", F.col("grain_size").alias("size"), F.col("grain_source_size").alias("source_size"), F.col("grain_target").alias("target"),
+        (F.col("grain_epochs") * F.col("grain_size")).alias("taken"), F.col("grain_epochs").alias("epochs"),
+    )
 
 
 def mixed(docs: DataFrame, size: Column | None = None, quality: Column | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
@@ -114,5 +119,5 @@ def mixed(docs: DataFrame, size: Column | None = None, quality: Column | None =
     rows = keyed(docs, size, quality, seed, id_col, text_col)
     slim = stored(rows.select(F.col(source_col).cast("string").alias("source"), "grain_size", "grain_key"), "keys")
     cut = cuts(slim, **shares)
-    out = decided(rows, cut, F.col(source_col).cast("string")).where("epochs > 0")
-    return out.withColumn("grain_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*columns)
+    out = decided(rows, cut, F.col(source_col).cast("string")).where("grain_epochs > 0")
+    return out.withColumn("grain_copy", F.explode(F.sequence(F.lit(1), F.col("grain_epochs").cast("int")))).select(*columns)
