@@ -1,4 +1,4 @@
-"""One Spark session for all tests, and the SQL side of comparisons."""
+"""One Spark session for all tests, and the same tables in DuckDB."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH", "")]))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -32,28 +31,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import SF
 
     connection = duckdb.connect()
     for path in Path(SF).glob("*.parquet"):
         connection.execute(f"create view {path.stem} as select * from '{path}'")
     return connection
-
-
-def canonical(frame, columns) -> list[tuple]:
-    import pandas as pd
-
-    def show(v):
-        if v is None or v is pd.NA or v is pd.NaT:
-            return "null"
-        if isinstance(v, float):
-            return "null" if v != v else f"{v + 0.0:.9g}"
-        return str(v)
-
-    return sorted(tuple(show(v) for v in row) for row in frame[columns].itertuples(index=False))
-
-
-def same(df, connection, sql: str) -> None:
-    ours, theirs = df.toPandas(), connection.sql(sql).df()
-    columns = sorted(ours.columns)
-    assert columns == sorted(theirs.columns)
-    assert canonical(ours, columns) == canonical(theirs, columns)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, same
+from helpers import SF, same
 from grainline import queries
 from grainline.errors import PlanningError, QueryError
 from grainline.functions.columns import column

@@ -1,6 +1,6 @@
 import json
 
-from conftest import SF
+from helpers import SF
 from grainline import verify
 from grainline.catalog import loads
 from grainline.operators import audit
