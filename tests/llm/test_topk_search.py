@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import SF, same
+from helpers import SF, same
 from pyspark.sql import functions as F
 
 from grainline.llm import queries, topk_search
@@ -12,7 +12,7 @@ def test_query(spark, duck):
 
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, []), (8, [1e300, 0.0]), (9, [-0.001, 0.0]), (1, [1.0, 2.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, []), (8, [1e30, 0.0]), (9, [-0.001, 0.0]), (1, [1.0, 2.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit(1)).withColumn("score", F.lit("x"))
     got = [tuple(r) for r in topk_search.top_k(df, F.col("vec_id").isin(0, 7, 9), k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 8, 256 * 2**27), (0, 2, 1, 256 * 256 + 512 * 512), (0, 3, 1, 256 * 256 + 512 * 512), (7, 1, 0, 0), (7, 2, 1, 0), (7, 3, 1, 0), (9, 1, 7, 0), (9, 2, 0, -256), (9, 3, 1, -256)]
