@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from grainline.llm.common import chunks, text_buffer
 
 HIDDEN, SEGMENT, LANES = 8, 128, 2048
-TRAIN_DOCS, TRAIN_SLICES, SLICE, EPOCHS, BATCH, RATE = 400, 4, 96, 5, 128, 0.02
+TRAIN_DOCS, TRAIN_SLICES, SLICE, STEPS, BATCH, RATE = 400, 4, 96, 260, 128, 0.02
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -101,13 +101,15 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[s
     return grad
 
 
-def train(slices: list[tuple[bytes, int]], languages: int, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    """slices: bytes, cut or filled with spaces to SLICE, and their label."""
+def train(slices: list[tuple[bytes, int]], languages: int, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    """slices: bytes, cut or filled with spaces to SLICE, and their label. At least so many steps of BATCH slices, in whole epochs."""
     p, draw = fresh(languages, seed), np.random.default_rng(seed)
     x = np.frombuffer(b"".join(s[:SLICE].ljust(SLICE) for s, _ in slices), np.uint8).reshape(-1, SLICE).T.astype(np.intp)
     y = np.array([label for _, label in slices])
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    step, steps = 0, epochs * -(-len(y) // BATCH)
+    epoch = -(-len(y) // BATCH)
+    step, epochs = 0, -(-steps // epoch)
+    steps = epochs * epoch
     for _ in range(epochs):
         order = draw.permutation(len(y))
         for at in range(0, len(y), BATCH):
