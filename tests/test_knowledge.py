@@ -1,0 +1,55 @@
+import json
+from datetime import date
+
+import pytest
+
+from grainline import cli, knowledge
+from grainline.catalog import loads
+from test_catalog import BASE
+
+
+def test_write_sync_and_conflicts(tmp_path):
+    layer = loads(BASE)
+    knowledge.write(layer, tmp_path)
+    with pytest.raises(FileExistsError):
+        knowledge.write(layer, tmp_path)
+    assert len(knowledge.sync(layer, tmp_path).unchanged) == len(layer.objects())
+    (tmp_path / "facts" / "f.md").write_text((tmp_path / "facts" / "f.md").read_text().replace("`s.f`", "`s.g`"))
+    (tmp_path / "facts" / "old.md").write_text("x")
+    note = (tmp_path / "measures" / "m.md").read_text().replace("## Caveats\n", "## Caveats\n\nMind the gap.\n")
+    (tmp_path / "measures" / "m.md").write_text(note)
+    done = knowledge.sync(loads(BASE.replace("aggregation: sum", "aggregation: avg")), tmp_path)
+    assert done.conflicts == ["facts/f.md"] and done.orphaned == ["facts/old.md"] and done.written == ["measures/m.md"]
+    assert "aggregation: avg" in (tmp_path / "measures" / "m.md").read_text() and "Mind the gap." in (tmp_path / "measures" / "m.md").read_text()
+
+
+def test_context(tmp_path):
+    knowledge.write(loads(BASE), tmp_path)
+    concepts = knowledge.load(tmp_path)
+    assert [c.path for c in knowledge.context(concepts, ["metric.m"], depth=2)[0]] == ["metrics/m.md", "measures/m.md", "facts/f.md"]
+    size = len(concepts["metrics/m.md"].body)
+    some, warnings = knowledge.context(concepts, ["metric.m"], depth=3, budget=size + 5)
+    assert len(some) == 1 and len(warnings) == 1
+    with pytest.raises(knowledge.BudgetError):
+        knowledge.context(concepts, ["metric.m"], budget=size - 1)
+
+
+def test_trust_and_freshness():
+    assert knowledge.trust({}) == "unverified"
+    assert knowledge.trust({"verified": {"by": "bot", "at": "2026-01-01T00:00:00"}}) == "machine_confirmed"
+    assert knowledge.trust({"verified": [{"by": "bot", "at": "2026-01-01"}, {"by": "human:x", "at": "2026-01-02"}]}) == "human_reviewed"
+    assert knowledge.trust({"verified": [{"by": "human:x", "at": "soon"}]}) == "unverified"
+    day = date(2026, 1, 2)
+    assert [knowledge.freshness({"stale_after": v}, day) for v in (date(2026, 1, 2), "2026-01-03", "x", None)] == ["stale", "current", "unspecified", "unspecified"]
+
+
+def test_command_line(tmp_path, capsys):
+    (tmp_path / "good.yaml").write_text(BASE)
+    (tmp_path / "bad.yaml").write_text(BASE.replace("column: t", "column: none"))
+    assert cli.main(["catalog", "validate", str(tmp_path / "good.yaml")]) == 0
+    assert json.loads(capsys.readouterr().out)["passed"]
+    assert cli.main(["catalog", "validate", str(tmp_path / "bad.yaml")]) == 1
+    assert json.loads(capsys.readouterr().out)["issues"][0]["path"] == "dimensions.d"
+    assert cli.main(["catalog", "compatibility", str(tmp_path / "good.yaml")]) == 0
+    assert cli.main(["knowledge", "write", str(tmp_path / "good.yaml"), str(tmp_path / "out")]) == 0
+    assert cli.main(["catalog", "validate", str(tmp_path / "none.yaml")]) == 1
