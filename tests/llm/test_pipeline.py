@@ -46,11 +46,13 @@ def test_stages(spark, tmp_path):
     assert PATH
 
 
-def test_awkward_documents(spark, odd):
-    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
-    for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).toPandas(), stage(spark, docs, SF).schema)
+def test_awkward_documents(spark, without_id, tmp_path):
+    docs = without_id.withColumn("n_chars", F.length("text").cast("long"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
     assert docs.count() > 0
+    assert spark.read.parquet(f"{tmp_path}/2").where("doc_id is null").count() == 1  # the document without an id stays
 
 
 def test_empty_documents(spark, tmp_path):
