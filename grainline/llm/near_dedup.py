@@ -186,7 +186,8 @@ def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, id_col
                 yield pa.RecordBatch.from_arrays([own[0], own[3], own[4], packed], ["rep", "cluster", "blocks", "shingles"]).filter(same)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "rep", "c1", "c2", "cluster", "blocks")
+    # one plan at every size: the texts are dealt out by id, whatever the number of representatives
+    joined = texts.hint("merge").join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "rep", "c1", "c2", "cluster", "blocks")
     sets = stored(joined.mapInArrow(run, "rep long, cluster long, blocks int, shingles binary"), "sets")
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:
