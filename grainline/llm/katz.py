@@ -30,11 +30,12 @@ from grainline.llm.common import chunks, mix, shuffle_partitions, stored, text_b
 
 K, REST = 5, 1e-3
 #: Bytes of text of one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of packed keys that one shard should get, about.
 SHARD_BYTES = 8 << 20
 END = np.uint64(0x5DEECE66D1234567)
 _BLOCK = "block long, ids binary, nulls binary, held binary, sizes binary, words binary, tokens binary"
+_BLOBS = ("ids", "nulls", "held", "sizes", "words", "tokens")
 _COUNTS = [f"{kind}{i}" for kind in "wg" for i in range(K + 2)]
 
 
@@ -106,7 +107,8 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_buffer() for name in _BLOBS}
                 b = Block(row, shards)
                 count = lambda x, n, who: np.bincount(x[who], minlength=n).astype(np.uint32)
                 words = count(b.v, len(b.words), b.train)
@@ -114,7 +116,7 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
                 held[b.u[~b.train]] = True
                 grams = count(b.gram, len(b.grams), b.train)
                 blobs = [_split(b.words, b.word_cut), _split(words, b.word_cut), _split(held, b.word_cut), _split(b.grams, b.gram_cut), _split(grams, b.gram_cut)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * shards), pa.array(np.arange(shards)), *(pa.array(x, pa.binary()) for x in blobs)], names=["block", "shard", "words", "word_n", "word_held", "grams", "gram_n"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * shards), pa.array(np.arange(shards)), *(pa.array(x, pa.binary()) for x in blobs)], names=["block", "shard", "words", "word_n", "word_held", "grams", "gram_n"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
