@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from grainline.llm.common import chunks, prefix_hash, shuffle_partitions, stored, substring_hash, text_buffer
 
 LENGTH, GRAM = 100, 32
-#: Anchors with more segments than this are dealt out window by window.
-MANY = 2_000
-#: Bytes of text of a document block, of packed runs of a shard, and of segments whose suffixes one task sorts, about.
-TEXT_BYTES, RUN_BYTES, SORT_BYTES = 8 << 20, 8 << 20, 2 << 20
+#: Anchors with more segments than this are dealt out window by window. Those that a partition has OFTEN segments of are
+#: counted before any shuffle, and up to HOT_ANCHORS of the most frequent never meet in one shard.
+MANY, OFTEN, HOT_ANCHORS = 2_000, 32, 50_000
+#: Bytes of text that are fingerprinted at once, of a document block, of packed runs of a shard, and of segments whose suffixes one task sorts, about.
+CODE_BYTES, TEXT_BYTES, RUN_BYTES, SORT_BYTES = 1 << 20, 4 << 20, 4 << 20, 1 << 20
+#: Runs that a task folds and sends at once.
+FLUSH_RUNS = 500_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -61,6 +64,7 @@ def _join(column, kind) -> np.ndarray:
 
 
 _RUN = {"anchor": np.uint64, "segment": np.uint64, "doc": np.int64, "lo": np.uint32, "many": np.uint8, "ahead": np.uint8}
+_OFTEN = {"o_anchor": np.int64, "o_n": np.int64}
 _GONE = {"g_doc": np.int64, "g_lo": np.uint32, "g_many": np.uint32}
 _ASK = {"a_doc": np.int64, "a_lo": np.uint32, "a_many": np.uint8, "a_anchor": np.uint64, "a_hot": bool}
 
@@ -100,25 +104,76 @@ def dealt(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
             columns.append(pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()))
         for x, kind in zip((doc, lo, many), _GONE.values(), strict=True):
             columns.append(pa.array([x[g].astype(kind).tobytes() for g in deal], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, names=["shard", *_RUN, *_GONE])
+        names, n = np.unique(anchor[at], return_counts=True)
+        for x in (names.view(np.int64), n):
+            columns.append(pa.array([x[n >= OFTEN].tobytes()] + [b""] * (shards - 1), pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["shard", *_RUN, *_GONE, *_OFTEN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             ids = batch.column(0).fill_null(LAST).to_numpy()
-            for i, _, data, offsets in chunks(*text_buffer(batch.column(1))):
+            for i, _, data, offsets in chunks(*text_buffer(batch.column(1)), limit=CODE_BYTES):
                 sums = prefix_hash(data)
                 lo, hi, anchor = runs(data, offsets, sums, length, gram)
                 doc = np.searchsorted(offsets, lo, side="right") - 1
-                parts.append((substring_hash(sums, anchor, anchor + gram), substring_hash(sums, lo, hi + length), ids[i + doc], lo - offsets[doc], hi - lo + 1, anchor - lo))
+                parts.append((substring_hash(sums, anchor, anchor + gram), substring_hash(sums, lo, hi + length), ids[i + doc], (lo - offsets[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8), (anchor - lo).astype(np.uint8)))
                 size += len(lo)
-                if size > 2_000_000:
+                if size > FLUSH_RUNS:
                     yield flush(parts)
                     parts, size = [], 0
         if parts:
             yield flush(parts)
 
-    return docs.mapInArrow(run, f"shard int, {_schema(_RUN)}, {_schema(_GONE)}")
+    return docs.mapInArrow(run, f"shard int, {_schema(_RUN)}, {_schema(_GONE)}, {_schema(_OFTEN)}")
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """The anchors with more than MANY segments, HOT_ANCHORS at most, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_join(batch.column(i).to_pylist(), kind)) for i, kind in enumerate(_OFTEN.values())], names=["anchor", "n"])
+
+    counts = rows.where(F.length("o_n") > 0).select(*_OFTEN).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > MANY).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()  # a bounded list
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
+def _is_hot(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+
+
+def without(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Packed runs without those of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            for k in range(len(_RUN)):
+                columns[k + 1] = []
+            for i in range(batch.num_rows):
+                arrays = [_join([batch.column(k)[i].as_py()], kind) for k, kind in _RUN.items()]
+                cold = ~_is_hot(arrays[0], hot)
+                for k, x in enumerate(arrays):
+                    columns[k + 1].append(x[cold].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if isinstance(c, list) else c for c in columns], names=batch.schema.names)
+
+    return rows.select("shard", *_RUN, *_GONE).mapInArrow(run, f"shard int, {_schema(_RUN)}, {_schema(_GONE)}")
+
+
+def hot_asks(rows: DataFrame, hot: np.ndarray, blocks: int, length: int) -> DataFrame:
+    """Per document block, the segments of hot anchors, which are compared window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, _, doc, lo, many, _ = (_join(batch.column(k).to_pylist(), kind) for k, kind in _RUN.items())
+            at = np.flatnonzero(_is_hot(anchor, hot))
+            if len(at):
+                made = _packed([doc[at], lo[at], many[at], anchor[at], np.ones(len(at), bool)], _ASK, blocks, asked_bytes(many[at], np.ones(len(at), bool), length))
+                yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+
+    return rows.select(*_RUN).mapInArrow(run, f"block long, {_schema(_ASK)}, a_bytes long")
 
 
 def _by_block(doc: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +183,26 @@ def _by_block(doc: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(block[order], np.arange(blocks + 1))
 
 
-def _packed(arrays: list[np.ndarray], kinds: dict, blocks: int) -> pd.DataFrame:
-    """One row per document block that the arrays have documents of; the first array holds their ids."""
+def _packed(arrays: list[np.ndarray], kinds: dict, blocks: int, weight: np.ndarray | None = None) -> pd.DataFrame:
+    """One row per document block that the arrays have documents of; the first array holds their ids. weight: summed as a_bytes."""
     order, edges = _by_block(arrays[0], blocks)
     full = np.flatnonzero(np.diff(edges))
     out = {"block": full}
     for x, (name, kind) in zip(arrays, kinds.items(), strict=True):
         x = x[order].astype(kind)
         out[name] = [x[edges[b] : edges[b + 1]].tobytes() for b in full]
+    if weight is not None:
+        out["a_bytes"] = np.add.reduceat(weight[order], edges[full]) if len(full) else full
     return pd.DataFrame(out)
 
 
-def met(rows: DataFrame, blocks: int) -> DataFrame:
+def asked_bytes(many: np.ndarray, hot: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that asks for so many windows bring: one segment, or window by window."""
+    many = many.astype(np.int64)
+    return np.where(hot, many * length, many + length - 1)
+
+
+def met(rows: DataFrame, blocks: int, length: int) -> DataFrame:
     """Per document block: windows that go (g_) and segments that must be compared (a_)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,11 +212,11 @@ def met(rows: DataFrame, blocks: int) -> DataFrame:
         again, kept = _others(at, first, doc, lo), at[first]
         _, which, kinds = np.unique(anchor[kept], return_inverse=True, return_counts=True)
         ask, hot = kept[kinds[which] > 1], (kinds[which] > MANY)[kinds[which] > 1]
-        out = [_packed([np.concatenate([g, x[again]]) for g, x in zip(gone, (doc, lo, many), strict=True)], _GONE, blocks), _packed([doc[ask], lo[ask], many[ask], anchor[ask], hot], _ASK, blocks)]
+        out = [_packed([np.concatenate([g, x[again]]) for g, x in zip(gone, (doc, lo, many), strict=True)], _GONE, blocks), _packed([doc[ask], lo[ask], many[ask], anchor[ask], hot], _ASK, blocks, asked_bytes(many[ask], hot, length))]
         out = pd.concat(out)
         return out.astype(object).where(out.notna(), None)
 
-    return rows.groupBy("shard").applyInPandas(meet, f"block long, {_schema(_GONE)}, {_schema(_ASK)}")
+    return rows.groupBy("shard").applyInPandas(meet, f"block long, {_schema(_GONE)}, {_schema(_ASK)}, a_bytes long")
 
 
 def fetched(texts: DataFrame, asks: DataFrame, shards: int, length: int) -> DataFrame:
@@ -313,17 +376,23 @@ def cleaned(texts: DataFrame, gone: DataFrame, length: int, with_text: bool) ->
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
+    if not 8 <= gram <= length or length - gram > 254:
+        raise ValueError("gram is 8 bytes or more, and length at most 254 bytes longer")
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     partitions = shuffle_partitions(spark)
     blocks = max(2 * partitions, size // TEXT_BYTES)
     shards = max(2 * partitions, size // RUN_BYTES)  # packed runs take about as many bytes as the text
-    found = stored(met(dealt(docs, shards, length, gram), blocks), "met")
-    asked = int(found.agg(F.sum(F.length("a_lo"))).first()[0] or 0) // 4
+    packed = stored(dealt(docs, shards, length, gram), "runs")
+    hot = hot_anchors(packed)
+    found = stored(met(without(packed, hot) if len(hot) else packed, blocks, length), "met")
     texts = docs.withColumn("block", F.pmod(F.col("id"), F.lit(blocks)))
-    asks = found.where("a_doc is not null").select("block", *_ASK)
+    asks = found.where("a_doc is not null").select("block", *_ASK, "a_bytes")
+    if len(hot):
+        asks = asks.unionByName(hot_asks(packed, hot, blocks, length))
+    asked = int(asks.agg(F.sum("a_bytes")).first()[0] or 0)
     gone = found.where("g_doc is not null").select("block", *_GONE)
-    sort_shards = max(2 * partitions, asked * 140 // SORT_BYTES)
+    sort_shards = max(2 * partitions, asked // SORT_BYTES)
     more = sorted_out(fetched(texts, asks, sort_shards, length), blocks, length)
     return cleaned(texts, gone.unionByName(more), length, with_text)

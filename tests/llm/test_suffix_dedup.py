@@ -35,8 +35,11 @@ def test_awkward_rows(odd, none, without_id):
     assert rows_of(suffix_dedup.dedup(without_id), *COLUMNS) == brute([(r["doc_id"], r["text"]) for r in without_id.collect()])
 
 
-def test_hot_anchors_go_window_by_window(spark, monkeypatch):
+@pytest.mark.parametrize("often", [2, 10**6])
+def test_hot_anchors_go_window_by_window(spark, monkeypatch, often):
+    """Counted before the shuffle where partitions have them often, found in their shard otherwise."""
     monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     draw = np.random.default_rng(2)
     passage = "".join(draw.choice(list("abcdefgh "), 110))
     rows = [(i, "".join(draw.choice(list("abcdefgh "), 60)) + passage + "".join(draw.choice(list("abcdefgh "), 60))) for i in range(30)]
