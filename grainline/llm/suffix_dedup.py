@@ -8,7 +8,7 @@ equal anchors at equal distances, and the windows of a document fall into runs w
 2. The other segments, which differ near their anchor, are fetched from the texts and dealt out by anchor. Each task
    sorts their suffixes in two stages: those smaller than their successors directly, the rest induced by bucket scans.
    Adjacent common prefixes of LENGTH or more make classes of equal windows, of which all but the earliest go. An anchor
-   with very many segments is dealt out window by window instead.
+   with very many segments is dealt out window by window instead; equal windows are folded before they meet in a task.
 3. Per document the windows that go become removed bytes.
 
 A null text is empty. Windows are compared by (doc_id, start); a null id comes last. Ids should be unique: places with
@@ -19,6 +19,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,8 @@ def _join(column, kind) -> np.ndarray:
 _RUN = {"anchor": np.uint64, "segment": np.uint64, "doc": np.int64, "lo": np.uint32, "many": np.uint8, "ahead": np.uint8}
 _OFTEN = {"o_anchor": np.int64, "o_n": np.int64}
 _GONE = {"g_doc": np.int64, "g_lo": np.uint32, "g_many": np.uint32}
-_ASK = {"a_doc": np.int64, "a_lo": np.uint32, "a_many": np.uint8, "a_anchor": np.uint64, "a_hot": bool}
+_SEGMENT = {"bytes": bytes, "sizes": np.uint32, "s_doc": np.int64, "s_lo": np.uint32}
+_ASK = {"a_doc": np.int64, "a_lo": np.uint32, "a_many": np.uint8, "a_anchor": np.uint64}
 
 
 def _schema(kinds: dict) -> str:
@@ -170,10 +172,10 @@ def hot_asks(rows: DataFrame, hot: np.ndarray, blocks: int, length: int) -> Data
             anchor, _, doc, lo, many, _ = (_join(batch.column(k).to_pylist(), kind) for k, kind in _RUN.items())
             at = np.flatnonzero(_is_hot(anchor, hot))
             if len(at):
-                made = _packed([doc[at], lo[at], many[at], anchor[at], np.ones(len(at), bool)], _ASK, blocks, asked_bytes(many[at], np.ones(len(at), bool), length))
+                made = _asks(doc[at], lo[at], many[at], anchor[at], True, blocks, length)
                 yield pa.RecordBatch.from_pandas(made, preserve_index=False)
 
-    return rows.select(*_RUN).mapInArrow(run, f"block long, {_schema(_ASK)}, a_bytes long")
+    return rows.select(*_RUN).mapInArrow(run, f"block long, {_schema(_ASK)}, a_bytes long, a_hot boolean")
 
 
 def _by_block(doc: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +198,10 @@ def _packed(arrays: list[np.ndarray], kinds: dict, blocks: int, weight: np.ndarr
     return pd.DataFrame(out)
 
 
-def asked_bytes(many: np.ndarray, hot: np.ndarray, length: int) -> np.ndarray:
-    """Bytes that asks for so many windows bring: one segment, or window by window."""
-    many = many.astype(np.int64)
-    return np.where(hot, many * length, many + length - 1)
+def _asks(doc: np.ndarray, lo: np.ndarray, many: np.ndarray, anchor: np.ndarray, hot: bool, blocks: int, length: int) -> pd.DataFrame:
+    """Asks for windows by document block, with the bytes that they bring: window by window where hot, or as one segment."""
+    n = many.astype(np.int64)
+    return _packed([doc, lo, many, anchor], _ASK, blocks, n * length if hot else n + length - 1).assign(a_hot=hot)
 
 
 def met(rows: DataFrame, blocks: int, length: int) -> DataFrame:
@@ -212,31 +214,116 @@ def met(rows: DataFrame, blocks: int, length: int) -> DataFrame:
         again, kept = _others(at, first, doc, lo), at[first]
         _, which, kinds = np.unique(anchor[kept], return_inverse=True, return_counts=True)
         ask, hot = kept[kinds[which] > 1], (kinds[which] > MANY)[kinds[which] > 1]
-        out = [_packed([np.concatenate([g, x[again]]) for g, x in zip(gone, (doc, lo, many), strict=True)], _GONE, blocks), _packed([doc[ask], lo[ask], many[ask], anchor[ask], hot], _ASK, blocks, asked_bytes(many[ask], hot, length))]
+        out = [_packed([np.concatenate([g, x[again]]) for g, x in zip(gone, (doc, lo, many), strict=True)], _GONE, blocks)]
+        out += [_asks(doc[at], lo[at], many[at], anchor[at], is_hot, blocks, length) for is_hot, at in ((False, ask[~hot]), (True, ask[hot]))]
         out = pd.concat(out)
         return out.astype(object).where(out.notna(), None)
 
-    return rows.groupBy("shard").applyInPandas(meet, f"block long, {_schema(_GONE)}, {_schema(_ASK)}, a_bytes long")
+    return rows.groupBy("shard").applyInPandas(meet, f"block long, {_schema(_GONE)}, {_schema(_ASK)}, a_bytes long, a_hot boolean")
+
+
+def _spans(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first window, how many) of runs of windows."""
+    by = np.lexsort((at, doc))
+    doc, at = doc[by], at[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    return doc[first], at[first], at[last] - at[first] + 1
+
+
+def _places(places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.array(places, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _texts(texts: pd.DataFrame) -> dict[int, bytes]:
+    return {int(i): t.encode() for i, t in zip(texts["id"], texts["text"], strict=True)}
 
 
 def fetched(texts: DataFrame, asks: DataFrame, shards: int, length: int) -> DataFrame:
-    """(shard, bytes, sizes, doc, lo): the segments asked for, or their windows one by one where the anchor is hot."""
+    """Segments asked for, by shard of their anchor."""
+
+    def fetch(texts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return pd.DataFrame({name: [] for name in ("shard", *_SEGMENT, *_GONE)})
+        text = _texts(texts)
+        doc, lo, many, anchor = (_join(asks[k], kind) for k, kind in _ASK.items())
+        found: dict[int, list] = {}
+        for d, at, n, a in zip(doc.tolist(), lo.tolist(), many.tolist(), anchor.tolist(), strict=True):
+            part = text[d][at : at + n - 1 + length]
+            if len(part) == n - 1 + length:
+                found.setdefault((a >> 20) % shards, []).append((part, d, at))
+        return _segments("shard", found, (np.zeros(0, np.int64),) * 3, 0)
+
+    return texts.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(fetch, f"shard long, {_schema(_SEGMENT)}, {_schema(_GONE)}")
+
+
+def _segments(key: str, found: dict[int, list], gone: tuple[np.ndarray, ...], turn: int) -> pd.DataFrame:
+    """One row per key of found, with its (bytes, doc, start) packed. What is gone goes with one of the rows, by turns."""
+    out = [
+        {key: k, "bytes": b"".join(p[0] for p in x), "sizes": np.array([len(p[0]) for p in x], np.uint32).tobytes(), "s_doc": np.array([p[1] for p in x], np.int64).tobytes(), "s_lo": np.array([p[2] for p in x], np.uint32).tobytes()} | dict.fromkeys(_GONE, b"")
+        for k, x in sorted(found.items())
+    ]
+    if out:
+        out[turn % len(out)] |= {name: x.astype(kind).tobytes() for x, (name, kind) in zip(gone, _GONE.items(), strict=True)}
+    return pd.DataFrame(out, columns=[key, *_SEGMENT, *_GONE])
+
+
+def earliest(windows: Iterator[tuple[bytes, tuple[int, int]]]) -> tuple[dict[bytes, tuple[int, int]], list[tuple[int, int]]]:
+    """The earliest (doc, start) of each window, and the other places of equal windows."""
+    first: dict[bytes, tuple[int, int]] = {}
+    gone = []
+    for window, place in windows:
+        had = first.setdefault(window, place)
+        if place < had:
+            first[window] = place
+            gone.append(had)
+        elif place != had:
+            gone.append(place)
+    return first, gone
+
+
+def _number(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
+
+
+def hot_windows(texts: DataFrame, asks: DataFrame, blocks: int, shards: int, folds: int, length: int) -> DataFrame:
+    """The windows of hot anchors, by shard of their content, one row of each content per salt at most.
+
+    Equal windows are folded twice: in their document block, then among the blocks of one salt, about as many as there
+    are salts. So a window brings as many rows to a fold or a shard as the square root of the number of blocks.
+    """
+    salts = salts_of(blocks)
 
     def fetch(texts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(asks):
-            return pd.DataFrame({"shard": [], "bytes": [], "sizes": [], "s_doc": [], "s_lo": []})
-        text = {int(i): t.encode() for i, t in zip(texts["id"], texts["text"], strict=True)}
-        doc, lo, many, anchor, hot = (_join(asks[k], kind) for k, kind in _ASK.items())
+            return pd.DataFrame({name: [] for name in ("fold", *_SEGMENT, *_GONE)})
+        text, block = _texts(texts), int(asks["block"].iloc[0])
+        doc, lo, many = (_join(asks[k], _ASK[k]).tolist() for k in ("a_doc", "a_lo", "a_many"))
+        first, gone = earliest((text[d][k : k + length], (d, k)) for d, at, n in zip(doc, lo, many, strict=True) for k in range(at, min(at + n, len(text[d]) - length + 1)))
+        found: dict[int, list] = {}
+        for window, place in first.items():
+            found.setdefault(_number(window) % folds * salts + block % salts, []).append((window, *place))
+        return _segments("fold", found, _spans(*_places(gone)), block // salts)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        data, doc, lo = (b"".join(rows["bytes"]), *(_join(rows[k], kind).tolist() for k, kind in (("s_doc", np.int64), ("s_lo", np.uint32))))
+        first, gone = earliest((data[i * length : (i + 1) * length], place) for i, place in enumerate(zip(doc, lo, strict=True)))
         found: dict[int, list] = {}
-        for d, at, n, a, h in zip(doc.tolist(), lo.tolist(), many.tolist(), anchor.tolist(), hot.tolist(), strict=True):
-            for start, end in [(at + k, at + k + length) for k in range(n)] if h else [(at, at + n - 1 + length)]:
-                part = text[d][start:end]
-                if len(part) == end - start:
-                    key = a if not h else int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")
-                    found.setdefault((key >> 20) % shards, []).append((part, d, start))
-        return pd.DataFrame([{"shard": s, "bytes": b"".join(p[0] for p in x), "sizes": np.array([len(p[0]) for p in x], np.uint32).tobytes(), "s_doc": np.array([p[1] for p in x], np.int64).tobytes(), "s_lo": np.array([p[2] for p in x], np.uint32).tobytes()} for s, x in found.items()])
+        for window, place in first.items():
+            found.setdefault((_number(window) >> 20) % shards, []).append((window, *place))
+        before = [_join(rows[k], kind).astype(np.int64) for k, kind in _GONE.items()]
+        return _segments("shard", found, tuple(np.concatenate(x) for x in zip(before, _spans(*_places(gone)), strict=True)), int(rows["fold"].iloc[0]) // salts)
+
+    kinds = f"{_schema(_SEGMENT)}, {_schema(_GONE)}"
+    folded = texts.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(fetch, f"fold long, {kinds}")
+    return folded.groupBy("fold").applyInPandas(fold, f"shard long, {kinds}")
+
 
-    return texts.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(fetch, "shard long, bytes binary, sizes binary, s_doc binary, s_lo binary")
+def salts_of(blocks: int) -> int:
+    return math.isqrt(blocks) + 1
 
 
 def words_of(text: np.ndarray, spare: int) -> np.ndarray:
@@ -330,17 +417,12 @@ def repeated(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarra
 
 
 def sorted_out(segments: DataFrame, blocks: int, length: int) -> DataFrame:
-    """Per document block the windows that go, from the suffix arrays of the segments."""
+    """Per document block the windows that go: those known before, and those from the suffix arrays of the segments."""
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         doc, at = repeated(_join(rows["bytes"], np.uint8), _join(rows["sizes"], np.uint32).astype(np.int64), _join(rows["s_doc"], np.int64), _join(rows["s_lo"], np.uint32), length)
-        by = np.lexsort((at, doc))
-        doc, at = doc[by], at[by]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-        return _packed([doc[first], at[first], at[last] - at[first] + 1], _GONE, blocks)
+        before = [_join(rows[k], kind) for k, kind in _GONE.items()]
+        return _packed([np.concatenate(x) for x in zip(before, _spans(doc, at), strict=True)], _GONE, blocks)
 
     return segments.groupBy("shard").applyInPandas(sort, f"block long, {_schema(_GONE)}")
 
@@ -388,11 +470,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     hot = hot_anchors(packed)
     found = stored(met(without(packed, hot) if len(hot) else packed, blocks, length), "met")
     texts = docs.withColumn("block", F.pmod(F.col("id"), F.lit(blocks)))
-    asks = found.where("a_doc is not null").select("block", *_ASK, "a_bytes")
+    asks = found.where("a_doc is not null").select("block", *_ASK, "a_bytes", "a_hot")
     if len(hot):
         asks = asks.unionByName(hot_asks(packed, hot, blocks, length))
-    asked = int(asks.agg(F.sum("a_bytes")).first()[0] or 0)
+    sums = asks.agg(F.sum("a_bytes"), F.sum(F.when(F.col("a_hot"), F.col("a_bytes")))).first()
+    asked, asked_hot = (int(x or 0) for x in sums)
     gone = found.where("g_doc is not null").select("block", *_GONE)
     sort_shards = max(2 * partitions, asked // SORT_BYTES)
-    more = sorted_out(fetched(texts, asks, sort_shards, length), blocks, length)
+    segments = fetched(texts, asks.where("not a_hot"), sort_shards, length)
+    if asked_hot:
+        folds = max(1, max(2 * partitions, asked_hot // SORT_BYTES) // salts_of(blocks))
+        segments = segments.unionByName(hot_windows(texts, asks.where("a_hot"), blocks, sort_shards, folds, length))
+    more = sorted_out(segments, blocks, length)
     return cleaned(texts, gone.unionByName(more), length, with_text)

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 
 import numpy as np
@@ -48,6 +49,30 @@ def test_hot_anchors_go_window_by_window(spark, monkeypatch, often):
     assert got == brute(rows) and sum(r[2] >= 110 for r in got) == 29
 
 
+@pytest.mark.parametrize("often", [2, 10**6])
+def test_hot_windows_are_folded_before_they_meet(spark, monkeypatch, often):
+    """A passage in many contexts brings one row per window and salt to the suffix sort, not one per document."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    sent, sort = [], suffix_dedup.sorted_out
+    monkeypatch.setattr(suffix_dedup, "sorted_out", lambda segments, *rest: (sent.append(segments), sort(segments, *rest))[1])
+    draw = np.random.default_rng(3)
+    passage = "".join(draw.choice(list("abcdefgh "), 110))
+    rows = [(i, "".join(draw.choice(list("abcdefgh "), 40)) + passage + "".join(draw.choice(list("abcdefgh "), 40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = rows_of(suffix_dedup.dedup(df), *COLUMNS)
+    assert got == brute(rows)
+    windows = collections.Counter()
+    for r in sent[0].collect():
+        data, at = bytes(r["bytes"]), 0
+        for size in np.frombuffer(r["sizes"], np.uint32).tolist():
+            windows.update({data[k : k + 100] for k in range(at, at + size - 99)})
+            at += size
+    shared = [windows[passage[k : k + 100].encode()] for k in range(11)]
+    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(windows.values()) <= suffix_dedup.salts_of(blocks) and any(shared)
+
+
 def test_kept_text(spark):
     text = "0123456789" * 9 + "abcdefghij" * 3
     df = spark.createDataFrame([(1, text), (2, "x" + text + "y")], "doc_id long, text string")
