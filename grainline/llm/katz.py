@@ -7,8 +7,8 @@ seen bigrams of u leave, over what their words' P leaves: every distribution sum
 
 Words are 64-bit hashes. Documents are coded once, in blocks of some millions of tokens, to a table in buckets of the
 block number. Each block asks for the counts of its distinct words and bigrams, dealt out by hash in packed arrays; the
-shards sum what all blocks sent and store the answers, a table by shard and block. Blocks then score their tokens, and
-ask the shards of contexts for the weights of those that backed off.
+shards sum what all blocks sent and store the answers, a table by shard and block. Blocks then score their tokens, ask
+the shards of contexts for the weights of their distinct contexts, and add these up over the tokens that backed off.
 
 A null text is empty: one end token; a null id is scored and trained on; each of repeated rows is a row; without
 training documents every token is unknown; an empty table gives an empty result; other columns are ignored.
@@ -165,6 +165,23 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
+def weighed(asked: DataFrame) -> DataFrame:
+    """(block, shard, weight): log10 of the backoff weights of the contexts that blocks ask for, each once a block."""
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        whole = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
+        words, c = whole("words", np.uint64), whole("n", np.int64)
+        _, at = np.unique(words, return_inverse=True)
+        kept, mass = (np.bincount(at, weights=whole(x, np.float64))[at] if len(at) else whole(x, np.float64) for x in ("kept", "mass"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.log10(np.maximum(1 - kept / np.maximum(c, 1), 1e-300) / np.maximum(1 - mass, 1e-15))
+        edges = np.cumsum([0, *(len(x) // 8 for x in rows["words"])])
+        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "weight": [weight[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]})
+
+    return asked.groupBy("shard").applyInPandas(weigh, "block long, shard long, weight binary")
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -186,7 +203,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def unigram(c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, of_words[np.minimum(c, K + 1)] * c / max(total, 1), unknown)
 
-    def own(blocks_: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def judged(blocks_: pd.DataFrame, replies: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """A block's asks for weights by shard, and its sums by document with what is to be added to them."""
         row = blocks_.iloc[0]
         b, replies = Block(row, shards), replies.sort_values("shard")
 
@@ -206,7 +224,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         gram_score = np.where(gram > 0, seen, backed)
         n = len(b.sizes)
         add = lambda x: np.bincount(b.doc, weights=x, minlength=n)
-        key = row["block"] * 2**24 + np.arange(n)
         # contexts that some held-out document has: what their seen bigrams keep, and what the words of these have alone
         use = mine & needed[b.gram_u]
         context = np.zeros(len(c), bool)
@@ -220,40 +237,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         picked = picked[order]
         place = np.full(len(c), -1)
         place[picked] = np.arange(len(picked))
-        posts_u, posts_doc = place[b.u[off]], b.doc[off]
-        by_u = np.argsort(posts_u, kind="stable")
-        posts_u, posts_doc = posts_u[by_u], posts_doc[by_u]
-        post_edges = np.searchsorted(posts_u, edges)
-        parts = lambda x, e: [x[i:j].tobytes() for i, j in zip(e, e[1:], strict=False)]
-        out = pd.DataFrame({
-            "shard": np.arange(shards), "words": parts(b.words[picked], edges), "n": parts(c[picked], edges), "kept": parts(held_mass[picked], edges), "mass": parts(word_mass[picked], edges),
-            "post_word": [(posts_u[i:j] - e).astype(np.uint32).tobytes() for i, j, e in zip(post_edges, post_edges[1:], edges, strict=False)], "post_doc": [key[posts_doc[i:j]].tobytes() for i, j in zip(post_edges, post_edges[1:], strict=False)],
-        })
-        docs_ = {"key": key, "id": b.ids, "null": b.nulls, "held": b.held, "tokens": b.sizes.astype(np.int64), "seen": add(c[b.v] > 0).astype(np.int64), "base": add(base[b.v]), "score": add(gram_score[b.gram])}
-        deal = np.array_split(np.arange(n), shards)
-        return out.assign(**{k: [x[d].tobytes() for d in deal] for k, x in docs_.items()})
-
-    kinds = {"key": np.int64, "id": np.int64, "null": bool, "held": bool, "tokens": np.int64, "seen": np.int64, "base": np.float64, "score": np.float64}
+        parts = lambda x: [x[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+        asks = pd.DataFrame({"block": row["block"], "shard": np.arange(shards), "words": parts(b.words[picked]), "n": parts(c[picked]), "kept": parts(held_mass[picked]), "mass": parts(word_mass[picked])})
+        posts, times = np.unique(place[b.u[off]] * n + b.doc[off], return_counts=True)
+        docs_ = {"id": b.ids, "null": b.nulls, "held": b.held, "tokens": b.sizes, "seen": add(c[b.v] > 0), "base": add(base[b.v]), "score": add(gram_score[b.gram]), "post_word": posts // n, "post_doc": posts % n, "post_n": times}
+        return asks, pd.DataFrame({"block": [row["block"]]} | {k: [docs_[k].astype(kind).tobytes()] for k, kind in kinds.items()})
+
+    kinds = {"id": np.int64, "null": bool, "held": bool, "tokens": np.int64, "seen": np.int64, "base": np.float64, "score": np.float64, "post_word": np.uint32, "post_doc": np.uint32, "post_n": np.uint32}
+
+    def finished(sums: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        x = {k: np.frombuffer(sums[k].iloc[0], kind) for k, kind in kinds.items()}
+        weight = np.frombuffer(b"".join(weights.sort_values("shard")["weight"]), np.float64)
+        more = np.bincount(x["post_doc"], weights=weight[x["post_word"]] * x["post_n"], minlength=len(x["id"]))
+        out = pd.DataFrame({"doc_id": x["id"], "held_out": x["held"], "n_tokens": x["tokens"], "n_known": x["seen"], "base_score": x["base"], "score": x["score"] + more})
+        return out.assign(doc_id=out["doc_id"].astype("Int64").mask(x["null"]))
 
-    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("words")
-        whole = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
-        words, c = whole("words", np.uint64), whole("n", np.int64)
-        _, at = np.unique(words, return_inverse=True)
-        kept, mass = (np.bincount(at, weights=whole(x, np.float64))[at] if len(at) else whole(x, np.float64) for x in ("kept", "mass"))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.log10(np.maximum(1 - kept / np.maximum(c, 1), 1e-300) / np.maximum(1 - mass, 1e-15))
-        starts = np.cumsum([0, *(len(x) // 8 for x in rows["words"])])[:-1]
-        posts = np.frombuffer(b"".join(rows["post_word"]), np.uint32) + np.repeat(starts, [len(x) // 4 for x in rows["post_word"]])
-        keys, where = np.unique(whole("post_doc", np.int64), return_inverse=True)
-        adds = pd.DataFrame({"key": keys, "score": np.bincount(where, weights=weight[posts], minlength=len(keys)) if len(keys) else np.zeros(0)})
-        docs_ = pd.DataFrame({k: whole(k, kind) for k, kind in kinds.items()})
-        docs_["id"] = docs_["id"].astype("Int64").mask(docs_["null"])
-        return pd.concat([docs_.drop(columns="null"), adds])[["key", "id", "held", "tokens", "seen", "base", "score"]]
-
-    blobs = ", ".join(f"{x} binary" for x in ("words", "n", "kept", "mass", "post_word", "post_doc", *kinds))
     answers = answers.select("block", "shard", "word_n", "word_held", "gram_n", "gram_own")
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(own, f"shard long, {blobs}")
-    parts = asked.groupBy("shard").applyInPandas(weigh, "key long, id long, held boolean, tokens long, seen long, base double, score double")
-    sums = parts.groupBy("key").agg(F.max("id").alias("doc_id"), F.max("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("seen").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    # judged twice rather than stored: its input is shuffled once, and blocks need not wait on disk
+    met = lambda which, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda left, right: judged(left, right)[which], schema)
+    asked = met(0, "block long, shard long, words binary, n binary, kept binary, mass binary")
+    sums = met(1, "block long, " + ", ".join(f"{x} binary" for x in kinds))
+    out = sums.groupBy("block").cogroup(weighed(asked).groupBy("block")).applyInPandas(finished, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -82,6 +82,18 @@ def test_many_blocks_and_shards(odd, monkeypatch):
     compare(katz.score(odd, F.col("doc_id") % 4 == 1).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], lambda i: i % 4 == 1)
 
 
+def test_blocks_ask_once_for_a_context(spark, monkeypatch):
+    """What a block sends for a word doesn't grow with the tokens that back off after it."""
+    sent, weigh = [], katz.weighed
+    monkeypatch.setattr(katz, "weighed", lambda asked: (sent.append(asked), weigh(asked))[1])
+    rows = [(0, "the cat the dog the end")] + [(i, " ".join(f"the unseen{i}x{k}" for k in range(50))) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    compare(katz.score(df, F.col("doc_id") > 0).collect(), rows, lambda i: i > 0)
+    asks = sent[0].collect()
+    assert len({r["block"] for r in asks}) == 1
+    assert sum(len(v) for r in asks for v in r if isinstance(v, bytes | bytearray)) <= 32 * 5  # the, cat, dog, end and the end of a document
+
+
 def test_discounts():
     d = katz.discounts([1000, 400, 200, 120, 80, 55])
     assert d[0] == 0 and all(0 < x < 1 for x in d[1:])
