@@ -11,9 +11,9 @@ equal anchors at equal distances, and the windows of a document fall into runs w
    with very many segments is dealt out window by window instead; equal windows are folded before they meet in a task.
 3. Per document the windows that go become removed bytes.
 
-A null text is empty. Windows are compared by (doc_id, start); a null id comes last. Ids should be unique: places with
-equal id and start count as one, and rows that share an id share their removed spans, cut to their length. An empty table
-gives an empty result; other columns are ignored.
+A null text is empty. Windows are compared by (doc_id, start). Rows without an id come last, each with a place of its own.
+Other ids should be unique: places with equal id and start count as one, and rows that share an id share their removed
+spans, cut to their length. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ MANY, OFTEN, HOT_ANCHORS = 2_000, 32, 50_000
 CODE_BYTES, TEXT_BYTES, RUN_BYTES, SORT_BYTES = 1 << 20, 4 << 20, 4 << 20, 1 << 20
 #: Runs that a task folds and sends at once.
 FLUSH_RUNS = 500_000
-LAST = np.iinfo(np.int64).max
+LAST = int(np.iinfo(np.int64).max)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def dealt(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(LAST).to_numpy()
+            ids = batch.column(0).to_numpy()
             for i, _, data, offsets in chunks(*text_buffer(batch.column(1)), limit=CODE_BYTES):
                 sums = prefix_hash(data)
                 lo, hi, anchor = runs(data, offsets, sums, length, gram)
@@ -427,7 +427,24 @@ def sorted_out(segments: DataFrame, blocks: int, length: int) -> DataFrame:
     return segments.groupBy("shard").applyInPandas(sort, f"block long, {_schema(_GONE)}")
 
 
-def cleaned(texts: DataFrame, gone: DataFrame, length: int, with_text: bool) -> DataFrame:
+def placed(docs: DataFrame, largest: int | None) -> tuple[DataFrame, int]:
+    """docs with the last of all numbers as ids of the rows without one, and how many these are.
+
+    Rows without an id are stored with their numbers, so that every later reading finds the same ones.
+    """
+    rest = stored(docs.where("id is null").select(F.monotonically_increasing_id().alias("at"), "text"), "without_id")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    counts = {r["part"]: r["n"] for r in rest.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    many = sum(counts.values())
+    if largest is not None and largest > LAST - many:
+        raise ValueError("the largest id leaves no numbers for the rows without an id")
+    parts = sorted(counts)
+    before = np.cumsum([0, *(counts[p] for p in parts)]).tolist()
+    begins = F.create_map(*[F.lit(x) for p, b in zip(parts, before, strict=False) for x in (int(p), LAST - many + 1 + b)])
+    return docs.where("id is not null").unionByName(rest.select((begins[part.cast("long")] + inside).alias("id"), "text")), many
+
+
+def cleaned(texts: DataFrame, gone: DataFrame, length: int, with_text: bool, without_id: int) -> DataFrame:
     """Per document what is removed and what is kept."""
 
     def clean(texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
@@ -447,7 +464,7 @@ def cleaned(texts: DataFrame, gone: DataFrame, length: int, with_text: bool) ->
                 gone_ = np.cumsum(edge[:-1]) > 0
                 removed, spans = int(gone_.sum()), int((gone_ & ~np.concatenate([[False], gone_[:-1]])).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone_].tobytes()
-            row = {"doc_id": None if i == LAST else i, "n_bytes": len(data), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            row = {"doc_id": None if i > LAST - without_id else i, "n_bytes": len(data), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
             out.append(row | ({"kept": kept} if with_text else {}))
         out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
         return out.astype({"doc_id": "Int64"})
@@ -461,8 +478,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     if not 8 <= gram <= length or length - gram > 254:
         raise ValueError("gram is 8 bytes or more, and length at most 254 bytes longer")
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size, largest, without_id = docs.agg(F.sum(F.octet_length("text")), F.max("id"), F.count_if(F.col("id").isNull())).first()
+    size = int(size or 0)
+    if without_id:
+        docs, without_id = placed(docs, largest)
     partitions = shuffle_partitions(spark)
     blocks = max(2 * partitions, size // TEXT_BYTES)
     shards = max(2 * partitions, size // RUN_BYTES)  # packed runs take about as many bytes as the text
@@ -482,4 +502,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         folds = max(1, max(2 * partitions, asked_hot // SORT_BYTES) // salts_of(blocks))
         segments = segments.unionByName(hot_windows(texts, asks.where("a_hot"), blocks, sort_shards, folds, length))
     more = sorted_out(segments, blocks, length)
-    return cleaned(texts, gone.unionByName(more), length, with_text)
+    return cleaned(texts, gone.unionByName(more), length, with_text, without_id)

@@ -73,6 +73,24 @@ def test_hot_windows_are_folded_before_they_meet(spark, monkeypatch, often):
     assert max(windows.values()) <= suffix_dedup.salts_of(blocks) and any(shared)
 
 
+def test_rows_without_an_id_have_places_of_their_own(spark):
+    draw = np.random.default_rng(4)
+    a, b, c, d = ("".join(draw.choice(list("abcdefgh "), 150)) for _ in range(4))
+    rows = [(None, a + b), (1, b), (None, c), (None, c), (None, d + a), (2**63 - 6, d), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, *r[1:])
+    for df in (df, df.repartition(4)):
+        got = sorted((tuple(r[k] for k in COLUMNS) for r in suffix_dedup.dedup(df).collect()), key=key)
+        numbered = [[(2**63 + k if i is None else i, t) for k, (i, t) in enumerate(x)] for x in (rows, rows[::-1])]  # these come in any order
+        orders = [sorted(((None if i >= 2**63 else i, *r) for i, *r in brute(x)), key=key) for x in numbered]
+        assert got in orders
+        assert sum(r[2] for r in got) == 600
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(spark.createDataFrame([(2**63 - 1, a), (None, b)], "doc_id long, text string"))
+    last = suffix_dedup.dedup(spark.createDataFrame([(2**63 - 1, a)], "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in last] == [2**63 - 1]
+
+
 def test_kept_text(spark):
     text = "0123456789" * 9 + "abcdefghij" * 3
     df = spark.createDataFrame([(1, text), (2, "x" + text + "y")], "doc_id long, text string")
