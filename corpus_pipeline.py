@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages, each a Parquet table that the next one reads.
 
-Null texts and texts without a letter go with language ID; of exact copies the row with the largest doc_id stays; of
+Null texts and texts without a letter go with language ID, and only these where no document names a language to learn
+from; of exact copies the row with the largest doc_id stays; of
 near copies (five-word shingles, similarity 0.8) the smallest doc_id; the mix repeats documents by epochs; packing
 returns pieces.
 """
@@ -22,9 +23,12 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of undetermined language."""
+    """Rejects documents of undetermined language; where nothing was learned, only those without a letter."""
     ship(spark)
-    found = language_id.identify(docs, F.col("lang").isNotNull(), keep=COLUMNS)
+    languages, network = language_id.learned(docs, F.col("lang").isNotNull())
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language_id.predict(docs, languages, network, keep=COLUMNS)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

@@ -55,6 +55,13 @@ def test_awkward_documents(spark, without_id, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/2").where("doc_id is null").count() == 1  # the document without an id stays
 
 
+def test_documents_without_a_label_stay(spark):
+    texts = ["some words", "zwölf Boxkämpfer", None, "", "12345 !!"]
+    docs = spark.createDataFrame([(i, t, None, "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert out.columns == list(corpus_pipeline.COLUMNS) and sorted(r["doc_id"] for r in out.collect()) == [0, 1]
+
+
 def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
