@@ -22,8 +22,8 @@ CONNECTORS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "csv": (("location",), ("credential_profile", "delimiter", "quote_char", "escape_char", "has_header")),
     "delta": (("location",), ("credential_profile",)),
     "iceberg": (("catalog_profile", "namespace", "table"), ()),
-    "sqlite": (("location", "relation"), ()),
-    "duckdb": (("location", "relation"), ("read_only",)),
+    "sqlite": (("location", "relation"), ("key", "parts")),
+    "duckdb": (("location", "relation"), ("read_only", "key", "parts")),
     "postgres": (("connection_profile", "relation"), ()),
     "pyarrow": (("handle",), ()),
 }

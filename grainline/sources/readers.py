@@ -184,9 +184,14 @@ def _table(kind: type) -> Callable:
             raise SourceError("connect_failed", source.name)
         spark.dataSource.register(kind)
         options = {"path": str(source.options["location"]), "relation": str(source.options["relation"])}
+        wanted = S.spark_schema(source.schema)
+        if "key" in source.options or "parts" in source.options:
+            key, parts = str(source.options["key"] if "key" in source.options else ""), int(source.options.get("parts", 1))
+            if parts < 1 or key not in wanted.names or wanted[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+                raise SourceError("bind_failed", source.name)  # other parts would miss rows
+            options |= {"key": key, "parts": str(parts)}
         frame = spark.read.format(kind.name()).options(**options)
         seen = frame.load().schema
-        wanted = S.spark_schema(source.schema)
         # SQLite has five storage classes; where Spark can cast, the declared type is what is read
         casts = [F.col(f"`{f.name}`").cast(wanted[f.name].dataType).alias(f.name) if f.name in wanted.names else F.col(f"`{f.name}`") for f in seen]
         observed = S.TableSchema(tuple(source.schema.get(f.name) or S.Field(f.name, "utf8") for f in seen)) if kind is SQLiteTable else _adopted(_widened(S.from_spark(seen), source.schema), source.schema)

@@ -11,7 +11,7 @@ from grainline.engine import SemanticEngine
 from grainline.errors import SourceError
 from grainline.operators import profile
 from grainline.sources import schema as S
-from grainline.sources.readers import Profiles
+from grainline.sources.readers import Profiles, prepare
 
 FIELDS = "[{name: id, type: int64, nullable: false}, {name: name, type: utf8}, {name: x, type: float64}]"
 ROWS = [(1, "a", 0.5), (2, None, 1.5), (3, "c, d", None)]
@@ -80,6 +80,28 @@ def test_arrow_provider(spark, make):
     assert error.value.code == "missing_arrow_provider"
 
 
+def test_tables_are_read_in_parts(spark, tmp_path):
+    connection = sqlite3.connect(tmp_path / "t.db")
+    connection.execute("create table t (id integer not null, name text, x real)")
+    connection.executemany("insert into t values (?, ?, ?)", ROWS)
+    connection.commit()
+    connection.close()
+    made = duckdb.connect(str(tmp_path / "t.duckdb"))
+    made.execute("create table t (id bigint not null, name varchar, x double)")
+    made.executemany("insert into t values (?, ?, ?)", ROWS)
+    made.close()
+    for kind, name in (("sqlite", "t.db"), ("duckdb", "t.duckdb")):
+        source = f"type: {kind}, location: '{tmp_path}/{name}', relation: t"
+        cut = engine(spark, f"{source}, key: id, parts: 3")
+        check(cut)
+        assert cut.query(["x"], ["name"]).count() == 3
+        layer = loads(f"version: 1\nname: x\ndata_sources:\n  t: {{{source}, key: id, parts: 3, grain: [id], schema: {{fields: {FIELDS}}}}}\n{SEMANTICS}")
+        assert prepare(spark, layer.data_sources["t"], Profiles()).read().rdd.getNumPartitions() == 3
+        for wrong in ("key: id, parts: 0", "key: x, parts: 3", "parts: 3"):
+            with pytest.raises(SourceError):
+                engine(spark, f"{source}, {wrong}")
+
+
 def test_sqlite(spark, tmp_path):
     connection = sqlite3.connect(tmp_path / "t.db")
     connection.execute("create table t (id integer not null, name text, x real)")
