@@ -5,15 +5,19 @@ rows, whatever the corpus. The driver packs that histogram, length class by leng
 the group of equal bins that the rule likes best among those that meet every constraint. Spark then ranks the pieces
 within their length, in buckets of bounded size with prefix-summed counts, and joins ranks to the plan.
 
+Ids come from distinct pre-tokens, told apart by 64-bit hashes within a chunk of text and by their bytes beyond it.
+
 A null text is empty and gives one piece with the separator alone; repeated rows are packed one by one; an empty table
 gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,52 +26,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.llm.common import chunks, stored, text_buffer
+from grainline.llm.common import chunks, prefix_hash, stored, substring_hash, text_buffer
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Pre-tokens whose ids a Python worker remembers, and bytes of text that it codes at once.
-MEMORY_WORDS, CHUNK = 150_000, 1 << 20
+#: Pre-tokens of one generation of a Python worker's memory, of which two are kept, and bytes of text coded at once.
+MEMORY_WORDS, CHUNK = 200_000, 4 << 20
+#: The normaliser and pre-tokens that Coder finds by itself.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_FAR = 0x180
+
+
+def _kinds() -> np.ndarray:
+    """The kind of every code point to U+017F, and _OTHER for _FAR and for those that normalising changes beyond case."""
+    out = np.full(_FAR + 1, _OTHER, np.uint8)
+    for point in (0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x131, _FAR)):
+        letter = chr(point)
+        out[point] = _SPACE if letter.isspace() else {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(letter)[0], _SIGN)
+    return out
+
+
+_KIND = _kinds()
 #: Pieces of one length that one ranking bucket holds, about.
 BUCKET_PIECES = 50_000
 _coders: dict[str, Coder] = {}
 
 
 class Coder:
-    """A tokenizer file's ids, exactly, with the ids of each distinct pre-token made once where that is safe.
+    """A tokenizer file's ids, exactly, with the model asked once for each distinct pre-token where that is safe.
 
-    In texts of printable Latin characters and simple white space, normalising is lower-casing, and the pre-tokens are
-    those of ``pattern``; the model is asked for each pre-token alone. Any other text goes through the tokenizer whole.
+    That is where the file has the normaliser and the pre-tokens of ``KNOWN`` and a text is in Latin letters and simple
+    white space: normalising is lower-casing then, and bytes tell where pre-tokens begin. Any other text, and any text
+    that may hold an added token, goes through the tokenizer whole; so does every text of any other file.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        letters, digits = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind) for kind in "LN")
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t\\n\\r {letters}{digits}]+")
-        self.safe = re.compile("[\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+        form = json.loads(self.whole.to_str())
+        self.added = [t["content"].encode() for t in form.get("added_tokens", [])]
+        self.known = {"normalizer": form["normalizer"], "pre_tokenizer": form["pre_tokenizer"]} == KNOWN and form["model"]["type"] == "BPE"
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as themselves
         other = iter(range(256, 512))
         self.letter = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-        self.model, self.known = self.whole.model, {}
+        self.model, self.young, self.old = self.whole.model, {}, {}
+
+    def _new(self, token: bytes) -> bytes:
+        text = token.decode() if token.isascii() else "".join([self.letter[b] for b in token])
+        return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def _ids(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of distinct pre-tokens. Those not asked for while MEMORY_WORDS others were are forgotten."""
+        young, old, out = self.young, self.old, []
+        for token in tokens:
+            found = young.get(token)
+            if found is None:
+                found = young[token] = old.get(token) or self._new(token)
+            out.append(found)
+        if len(young) > MEMORY_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+    def _alone(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts go through the tokenizer whole."""
+        if not self.known:
+            return np.ones(len(offsets) - 1, bool)
+        point, _ = _points(data)
+        bad = [np.flatnonzero(_KIND[point] == _OTHER)]
+        raw = data.tobytes()
+        for token in self.added:
+            bad.append(np.array([m.start() for m in re.finditer(re.escape(token[:2]), raw)], np.int64))
+        out = np.zeros(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, np.concatenate(bad), side="right") - 1] = True
+        return out
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each text's followed by SEPARATOR, and n + 1 offsets into them."""
+        n, alone = len(offsets) - 1, self._alone(data, offsets)
+        doc, ids = self._by_words(data, offsets, alone)
+        if alone.any():
+            at = np.flatnonzero(alone)
+            found = [self.whole.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids for i in at]
+            doc = np.concatenate([doc, np.repeat(at, [len(x) for x in found])])
+            ids = np.concatenate([ids, *(np.array(x, "<u4") for x in found)])
+            order = np.argsort(doc, kind="stable")
+            doc, ids = doc[order], ids[order]
+        ends = np.cumsum(np.bincount(doc, minlength=n))
+        return np.insert(ids, ends, SEPARATOR), np.concatenate([[0], ends + np.arange(1, n + 1)])
 
-    def _ids(self, token: str) -> bytes:
-        plain = token if token.isascii() else "".join([self.letter[b] for b in token.encode()])
-        return np.array([x.id for x in self.model.tokenize(plain)], "<u4").tobytes()
+    def _by_words(self, data: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, id) of the texts that don't go alone, in order."""
+        spaced = np.insert(data, offsets[1:-1], 0x20)  # pre-tokens end with their text
+        begin = offsets[:-1] + np.arange(len(offsets) - 1)
+        size = np.diff(offsets)
+        for i in np.flatnonzero(alone):
+            spaced[begin[i] : begin[i] + size[i]] = 0x20
+        low = np.frombuffer(spaced.tobytes().decode().lower().encode(), np.uint8)  # these letters keep their length
+        point, lead = _points(low)
+        kind = _KIND[point]
+        start = (kind != _SPACE) & lead
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        for at in np.flatnonzero(start & (low == 0x27)).tolist():  # contractions, where no other sign stands before
+            for tail in CONTRACTIONS:
+                if low[at + 1 : at + 1 + len(tail)].tobytes() == tail:
+                    after = at + 1 + len(tail)
+                    start[at + 1] = False
+                    if after < len(low) and kind[after] == _LETTER:
+                        start[after] = True
+                    break
+        starts = np.flatnonzero(start)
+        if not len(starts):
+            return starts, np.zeros(0, "<u4")
+        stop = kind == _SPACE
+        spaces = np.append(np.flatnonzero(stop), len(low))
+        ends = np.minimum(np.append(starts[1:], len(low)), spaces[np.searchsorted(spaces, starts)])
+        sums = prefix_hash(low)
+        _, first, which = np.unique(substring_hash(sums, starts, ends), return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        found = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        flat, many = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])
+        each = many[which]
+        at = np.repeat((np.cumsum(many) - many)[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return np.repeat(np.searchsorted(begin, starts, side="right") - 1, each), flat[at]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        split = [None if self.special(x) else self.pattern.findall(x.lower()) for x in texts]
-        need = set().union(*(x for x in split if x is not None))
-        ids = {w: self.known[w] for w in need & self.known.keys()}
-        new = {w: self._ids(w) for w in need - ids.keys()}
-        if len(self.known) < MEMORY_WORDS:
-            self.known |= new
-        ids |= new
-        return [np.array(self.whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(map(ids.__getitem__, own)) for x, own in zip(texts, split, strict=True)]
 
-    def special(self, text: str) -> bool:
-        return self.safe.fullmatch(text) is None or "<|" in text
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code point that each byte belongs to, _FAR beyond two bytes and U+017F, and whether it leads."""
+    point = data.astype(np.uint16)
+    lead = (data & 0xC0) != 0x80
+    two = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+    point[two] = ((data[two] & np.uint16(0x1F)) << 6) | (data[two + 1] & 0x3F)
+    point[two + 1] = point[two]
+    point[data >= 0xC6] = _FAR
+    return point, lead
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,19 +178,19 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _coders:
             _coders[tokenizer_path] = Coder(tokenizer_path)
-        coder, end = _coders[tokenizer_path], np.array([SEPARATOR], "<u4").tobytes()
+        coder = _coders[tokenizer_path]
         for batch in batches:
             ids = batch.column(0)
             for i, _, data, offsets in chunks(*text_buffer(batch.column(1)), limit=CHUNK):
-                out: list[tuple] = []
-                for row, own in enumerate(coder([data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)]), i):
-                    all_ids = own + end
-                    for piece, at in enumerate(range(0, len(all_ids), 4 * capacity)):
-                        part = all_ids[at : at + 4 * capacity]
-                        out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                rows, piece, start, length, crc = zip(*out, strict=True)
+                all_ids, ends = coder(data, offsets)
+                pieces = -(-np.diff(ends) // capacity)
+                row = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(ends[row + 1] - ends[row] - piece * capacity, capacity)
+                raw, at = memoryview(all_ids.astype("<u4", copy=False).tobytes()), 4 * (ends[row] + piece * capacity)
+                crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [ids.take(pa.array(i + row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
