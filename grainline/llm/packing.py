@@ -19,7 +19,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -198,52 +197,49 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-@dataclass
-class _Bins:
-    """Equal bins with neighbouring numbers: first, how many, and what is left of each capacity."""
-
-    first: int
-    many: int
-    left: np.ndarray
-    used: int
-
-
 def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY, max_documents: int | None = None, max_attention: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): ranks [first, end) of a length go to neighbouring sequences.
 
     histogram: (length, pieces). Each piece costs its tokens, one document and length**2 of attention. rule "norm" takes
     the bins with the smallest weighted norm of what would be left, "dot" those with the largest weighted dot-product
-    of need and residual.
+    of need and residual. Equal bins with neighbouring numbers are one group: first, how many, what is left of each
+    capacity, and the tokens used.
     """
     full = np.array([capacity, max_documents or capacity, max_attention or float(capacity) ** 2])
     scale = np.asarray(weights) / full**2
-    bins: list[_Bins] = []
+    first, many, used, left = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3))
     entries, sequences = [], 0
     for length, count in sorted(histogram, reverse=True):
-        need, rank = np.array([length, 1.0, float(length) ** 2]), 0
+        need, rank, new = np.array([length, 1.0, float(length) ** 2]), 0, []
         if (need > full).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         while rank < count:
-            fits = [b for b in bins if (b.left >= need).all()]
-            if not fits:
+            fits = np.flatnonzero((left >= need).all(axis=1))
+            if not len(fits):
                 break
-            left = np.array([b.left for b in fits])
-            at = int(np.argmin((scale * (left - need) ** 2).sum(axis=1)) if rule == "norm" else np.argmax((scale * left * need).sum(axis=1)))
-            b, take = fits[at], min(fits[at].many, count - rank)
-            if take < b.many:
-                bins.append(_Bins(b.first + take, b.many - take, b.left.copy(), b.used))
-                b.many = take
-            entries.append((length, rank, rank + take, b.first, b.used))
-            b.left, b.used, rank = b.left - need, b.used + length, rank + take
+            rest = left[fits]
+            at = fits[np.argmin((scale * (rest - need) ** 2).sum(axis=1)) if rule == "norm" else np.argmax((scale * rest * need).sum(axis=1))]
+            take = min(int(many[at]), count - rank)
+            if take < many[at]:
+                first, many, used, left = np.append(first, first[at] + take), np.append(many, many[at] - take), np.append(used, used[at]), np.append(left, left[at : at + 1], axis=0)
+                many[at] = take
+            entries.append((length, rank, rank + take, int(first[at]), int(used[at])))
+            left[at] -= need
+            used[at] += length
+            rank += take
         each = int(np.min(full // need))
-        for per, many in ((each, (count - rank) // each), ((count - rank) % each, 1)):
-            if per and many:
+        for per, bins in ((each, (count - rank) // each), ((count - rank) % each, 1)):
+            if per and bins:
                 for slot in range(per):
-                    entries.append((length, rank, rank + many, sequences, slot * length))
-                    rank += many
-                bins.append(_Bins(sequences, many, full - per * need, per * length))
-                sequences += many
-        bins = [b for b in bins if (b.left >= 1).all()]
+                    entries.append((length, rank, rank + bins, sequences, slot * length))
+                    rank += bins
+                new.append((sequences, bins, per * length, full - per * need))
+                sequences += bins
+        if new:
+            a, b, c, d = zip(*new, strict=True)
+            first, many, used, left = np.append(first, a), np.append(many, b), np.append(used, c), np.append(left, np.array(d), axis=0)
+        some = (left >= 1).all(axis=1)
+        first, many, used, left = first[some], many[some], used[some], left[some]
     return entries
 
 
