@@ -17,7 +17,7 @@ training documents every token is unknown; an empty table gives an empty result;
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainline.llm.common import chunks, mix, shuffle_partitions, stored, text_buffer, word_hashes
+from grainline.llm.common import chunks, mix, shared_dir, shuffle_partitions, stored, text_buffer, word_hashes
 
 K, REST = 5, 1e-3
 #: Bytes of text of one block.
@@ -37,6 +37,7 @@ END = np.uint64(0x5DEECE66D1234567)
 _BLOCK = "block long, ids binary, nulls binary, held binary, sizes binary, words binary, tokens binary"
 _BLOBS = ("ids", "nulls", "held", "sizes", "words", "tokens")
 _COUNTS = [f"{kind}{i}" for kind in "wg" for i in range(K + 2)]
+ANSWERED = "block long, shard long, word_n binary, word_held binary, gram_n binary, gram_own binary, " + ", ".join(f"{x} long" for x in [*_COUNTS, "known"])
 
 
 def coded(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -102,6 +103,53 @@ def _split(values: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> list[bytes]
     return [values[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs, 8 at most; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(parts: Iterable[bytes]) -> np.ndarray:
+    """packed() numbers, end to end."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64) for x in parts)])
+
+
+def _split_counts(values: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    order, edges = by
+    values = values[order]
+    return [packed(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def answered(rows: pd.DataFrame) -> pd.DataFrame:
+    """What all blocks are told by one shard, and the shard's share of the counts of counts, once."""
+    rows = rows.sort_values("block")
+    out, figures = {"block": rows["block"].to_numpy(), "shard": rows["shard"].to_numpy()}, np.zeros(len(_COUNTS), np.int64)
+    for k, kind in enumerate(("word", "gram")):
+        sizes = [len(x) // 8 for x in rows[f"{kind}s"]]
+        keys = np.frombuffer(b"".join(rows[f"{kind}s"]), np.uint64)
+        n = unpacked(rows[f"{kind}_n"])
+        unique, at = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, at, n)
+        figures[k * (K + 2) : k * (K + 2) + K + 1] = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
+        figures[k * (K + 2) + K + 1] = total.sum() if k == 0 else (total > 0).sum()
+        edges = np.cumsum([0, *sizes])
+        parts = lambda x, form=np.ndarray.tobytes: [form(x[a:b]) for a, b in zip(edges, edges[1:], strict=False)]  # noqa: E731, B023
+        out[f"{kind}_n"] = parts(total[at], packed)
+        if kind == "word":
+            held = np.bincount(at, weights=np.frombuffer(b"".join(rows["word_held"]), bool), minlength=len(unique)) > 0
+            out["word_held"] = parts(held[at])
+            known = int((total > 0).sum())
+        else:  # one of the blocks that train on a bigram counts it for its context
+            owner = np.zeros(len(keys), bool)
+            trained = np.flatnonzero(n)
+            owner[trained[np.unique(keys[trained], return_index=True)[1]]] = True
+            out["gram_own"] = parts(owner)
+    for name, x in zip([*_COUNTS, "known"], [*figures, known], strict=True):
+        out[name] = np.where(np.arange(len(rows)) == 0, x, 0)
+    return pd.DataFrame(out)
+
+
 def counted(blocks: DataFrame, shards: int) -> DataFrame:
     """(block, shard, ...): for each block's words and bigrams their counts in all training documents."""
 
@@ -110,44 +158,17 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_buffer() for name in _BLOBS}
                 b = Block(row, shards)
-                count = lambda x, n, who: np.bincount(x[who], minlength=n).astype(np.uint32)
+                count = lambda x, n, who: np.bincount(x[who], minlength=n)
                 words = count(b.v, len(b.words), b.train)
                 held = np.zeros(len(b.words), bool)
                 held[b.u[~b.train]] = True
                 grams = count(b.gram, len(b.grams), b.train)
-                blobs = [_split(b.words, b.word_cut), _split(words, b.word_cut), _split(held, b.word_cut), _split(b.grams, b.gram_cut), _split(grams, b.gram_cut)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * shards), pa.array(np.arange(shards)), *(pa.array(x, pa.binary()) for x in blobs)], names=["block", "shard", "words", "word_n", "word_held", "grams", "gram_n"])
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        out, figures = {"block": rows["block"].to_numpy(), "shard": rows["shard"].to_numpy()}, np.zeros(len(_COUNTS), np.int64)
-        for k, kind in enumerate(("word", "gram")):
-            sizes = [len(x) // 8 for x in rows[f"{kind}s"]]
-            keys = np.frombuffer(b"".join(rows[f"{kind}s"]), np.uint64)
-            n = np.frombuffer(b"".join(rows[f"{kind}_n"]), np.uint32)
-            unique, at = np.unique(keys, return_inverse=True)
-            total = np.bincount(at, weights=n, minlength=len(unique)).astype(np.int64)
-            figures[k * (K + 2) : k * (K + 2) + K + 1] = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-            figures[k * (K + 2) + K + 1] = total.sum() if k == 0 else (total > 0).sum()
-            edges = np.cumsum([0, *sizes])
-            parts = lambda x: [x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]  # noqa: E731, B023
-            out[f"{kind}_n"] = parts(total[at].astype(np.uint32) if total.max(initial=0) < 2**32 else np.minimum(total[at], 2**32 - 1).astype(np.uint32))
-            if kind == "word":
-                held = np.bincount(at, weights=np.frombuffer(b"".join(rows["word_held"]), bool), minlength=len(unique)) > 0
-                out["word_held"] = parts(held[at])
-                known = int((total > 0).sum())
-            else:  # one of the blocks that train on a bigram counts it for its context
-                owner = np.zeros(len(keys), bool)
-                trained = np.flatnonzero(n)
-                owner[trained[np.unique(keys[trained], return_index=True)[1]]] = True
-                out["gram_own"] = parts(owner)
-        for name, x in zip([*_COUNTS, "known"], [*figures, known], strict=True):
-            out[name] = np.where(np.arange(len(rows)) == 0, x, 0)
-        return pd.DataFrame(out)
+                blobs = [_split(b.words, b.word_cut), _split_counts(words, b.word_cut), _split(held, b.word_cut), _split(b.grams, b.gram_cut), _split_counts(grams, b.gram_cut)]
+                some = np.flatnonzero(np.diff(b.word_cut[1]) + np.diff(b.gram_cut[1]))  # never more rows than keys
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(some)), pa.array(some), *(pa.array([x[k] for k in some], pa.binary()) for x in blobs)], names=["block", "shard", "words", "word_n", "word_held", "grams", "gram_n"])
 
     asked = blocks.mapInArrow(ask, "block long, shard long, words binary, word_n binary, word_held binary, grams binary, gram_n binary")
-    figures = ", ".join(f"{x} long" for x in [*_COUNTS, "known"])
-    return asked.groupBy("shard").applyInPandas(answer, f"block long, shard long, word_n binary, word_held binary, gram_n binary, gram_own binary, {figures}")
+    return asked.groupBy("shard").applyInPandas(answered, ANSWERED)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -185,12 +206,15 @@ def weighed(asked: DataFrame) -> DataFrame:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    partitions = shuffle_partitions(spark)
+    buckets = max(partitions, int(size) // (2 * BLOCK_BYTES))
     name = f"katz_{uuid.uuid4().hex}"
-    coded(docs, held_out, id_col, text_col).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    coded(docs, held_out, id_col, text_col).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay in the shared folder; only the catalog forgets them
     tokens = blocks.select(F.sum(F.length("tokens")) * 2).first()[0] or 0
-    shards = max(2 * buckets, int(tokens) // SHARD_BYTES + 1)
+    shards = max(2 * partitions, int(tokens) // SHARD_BYTES + 1)
     answers = stored(counted(blocks, shards), "counts")
     sums = answers.agg(*[F.sum(c).alias(c) for c in [*_COUNTS, "known"]]).first()
     sums = [int(sums[c] or 0) for c in [*_COUNTS, "known"]]
@@ -209,12 +233,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         b, replies = Block(row, shards), replies.sort_values("shard")
 
         def told(column: str, kind, by) -> np.ndarray:
-            out = np.empty(len(by[0]), kind)
-            out[by[0]] = np.frombuffer(b"".join(replies[column]), kind)
+            """A column of replies in the block's order; without a kind packed counts."""
+            values = unpacked(replies[column]) if kind is None else np.frombuffer(b"".join(replies[column]), kind)
+            out = np.empty_like(values)
+            out[by[0]] = values
             return out
 
-        c, needed = told("word_n", np.uint32, b.word_cut).astype(np.int64), told("word_held", bool, b.word_cut)
-        gram, mine = told("gram_n", np.uint32, b.gram_cut).astype(np.int64), told("gram_own", bool, b.gram_cut)
+        c, needed = told("word_n", None, b.word_cut), told("word_held", bool, b.word_cut)
+        gram, mine = told("gram_n", None, b.gram_cut), told("gram_own", bool, b.gram_cut)
         p = unigram(c)
         # as a context a word counts as often as it is one: every token but an end is followed by one, every end begins
         kept = of_grams[np.minimum(gram, K + 1)] * gram
@@ -239,6 +265,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         place[picked] = np.arange(len(picked))
         parts = lambda x: [x[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
         asks = pd.DataFrame({"block": row["block"], "shard": np.arange(shards), "words": parts(b.words[picked]), "n": parts(c[picked]), "kept": parts(held_mass[picked]), "mass": parts(word_mass[picked])})
+        asks = asks[np.diff(edges) > 0]
         posts, times = np.unique(place[b.u[off]] * n + b.doc[off], return_counts=True)
         docs_ = {"id": b.ids, "null": b.nulls, "held": b.held, "tokens": b.sizes, "seen": add(c[b.v] > 0), "base": add(base[b.v]), "score": add(gram_score[b.gram]), "post_word": posts // n, "post_doc": posts % n, "post_n": times}
         return asks, pd.DataFrame({"block": [row["block"]]} | {k: [docs_[k].astype(kind).tobytes()] for k, kind in kinds.items()})

@@ -2,6 +2,7 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 from helpers import SF
 from llm_conftest import words
@@ -94,6 +95,22 @@ def test_blocks_ask_once_for_a_context(spark, monkeypatch):
     assert sum(len(v) for r in asks for v in r if isinstance(v, bytes | bytearray)) <= 32 * 5  # the, cat, dog, end and the end of a document
 
 
+def test_counts_of_any_size():
+    draw = np.random.default_rng(1)
+    parts = [draw.integers(0, 1 << bits, 9) for bits in (1, 8, 9, 16, 17, 32, 33, 62)] + [np.zeros(0, np.int64), np.array([2**32 - 1, 2**32, 2**63 - 1])]
+    assert (katz.unpacked(map(katz.packed, parts)) == np.concatenate(parts)).all()
+    assert [len(katz.packed(np.array([x]))) for x in (255, 256, 2**16, 2**32)] == [2, 3, 5, 9]
+
+
+def test_shards_sum_beyond_32_bits(spark):
+    """Two blocks that each saw a word 3 * 2**31 times are told the sum."""
+    n, one = 3 * 2**31, np.array([7], np.uint64).tobytes()
+    rows = [(b, 0, bytearray(one), bytearray(katz.packed(np.array([n]))), bytearray(b"\x00"), bytearray(one), bytearray(katz.packed(np.array([n])))) for b in (0, 1)]
+    asked = spark.createDataFrame(rows, "block long, shard long, words binary, word_n binary, word_held binary, grams binary, gram_n binary")
+    for r in asked.groupBy("shard").applyInPandas(katz.answered, katz.ANSWERED).collect():
+        assert katz.unpacked([bytes(r["word_n"])]).tolist() == katz.unpacked([bytes(r["gram_n"])]).tolist() == [2 * n]
+
+
 def test_discounts():
     d = katz.discounts([1000, 400, 200, 120, 80, 55])
     assert d[0] == 0 and all(0 < x < 1 for x in d[1:])
