@@ -28,16 +28,16 @@ LEVELS = 48
 
 
 def digests(docs: DataFrame, history: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, hist): SHA-256 of the text's UTF-8 bytes after lower-casing A-Z only."""
+    """(doc_id, digest, hist, text_hash): SHA-256 of the text's UTF-8 bytes after lower-casing A-Z only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).fill_null("").cast(pa.large_binary())
             out = [hashlib.sha256(x.as_buffer().to_pybytes().lower()).digest() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "digest", "hist"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[2:]], ["doc_id", "digest", "hist", "text_hash"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(history.cast("boolean"), F.lit(False)).alias("hist"))
-    return picked.mapInArrow(run, "doc_id long, digest binary, hist boolean")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(history.cast("boolean"), F.lit(False)).alias("hist"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return picked.mapInArrow(run, "doc_id long, digest binary, hist boolean, text_hash long")
 
 
 def distinct(rows: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def absorb(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, history=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, in_history.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, in_history, text_hash (of the text as it is).
 
     history: a column that says which rows make the historical corpus (all other rows are the new batch); without it,
     half of the ids do. The row with the largest doc_id of each group stays, wherever it is.
@@ -147,5 +147,5 @@ def dedup(docs: DataFrame, history=None, id_col: str = "doc_id", text_col: str =
     groups = absorb(build_index(old, shards), new, shards)
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"),
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("known").alias("in_history"), "text_hash",
     )

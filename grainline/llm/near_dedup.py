@@ -4,18 +4,22 @@ Each document's set of word shingles gets two small collections of half keys, ea
 Every pair of one half key from either collection is a table key, so ``HALVES`` squared tables cost only
 2 * HALVES * ROWS minhashes. Two sets of similarity s miss each other with a chance of about 2 * (1 - s**ROWS)**HALVES.
 
-1. sketches: set size, set hash and half keys of every document. Equal sets are one class; its smallest id stands for it.
+1. sketches: set size, set hash and half keys of every row, and the row's number. Equal sets are one class;
+   the row with its smallest id stands for it.
 2. Table keys are dealt out in packed blocks; representatives that share one form candidate clusters.
 3. Full sets are compared within the clusters, all against all, so links that no table found are found too. A cluster of
-   more than ``BLOCK`` sets is cut into blocks, and each pair of blocks is a task of its own.
+   more than ``BLOCK`` sets is cut by set size, as sets of too different sizes can't link, and each size into blocks; each
+   pair of blocks of one or of neighbouring sizes is a task of its own.
 4. Links give components; every document gets that of its class.
 
-A document without words links to nothing, and neither does a row without an id, whose component is null; rows that
-repeat an id with one text are one class; an empty table gives an empty result; other columns are ignored.
+A document without words links to nothing. Rows are told apart by their number, not by their id: rows that repeat an id
+may have different texts, and rows without an id link like others. They never name a component; where no row of one has an
+id, component_id is null and the first row stays. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,11 +73,11 @@ def table_keys(halves: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, halves): size of the set, 128 bits of its hash, packed half keys."""
+    """(row, doc_id, text_hash, n, s1, s2, halves): size of the set, 128 bits of its hash, packed half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in chunks(*text_buffer(batch.column(1))):
+            for i, j, data, offsets in chunks(*text_buffer(batch.column(3))):
                 values, begin = shingle_sets(data, offsets, width)
                 n = np.diff(begin)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(c)))]) for c in (1, 2)]
@@ -83,10 +87,11 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     for row, keys in zip(full, half_keys(values, begin[full]), strict=True):
                         packed[row] = keys.tobytes()
                 s1, s2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "halves"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:3]), pa.array(n), pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], ["row", "doc_id", "text_hash", "n", "s1", "s2", "halves"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, halves binary")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return picked.mapInArrow(run, "row long, doc_id long, text_hash long, n long, s1 long, s2 long, halves binary")
 
 
 def candidates(reps: DataFrame, shards: int) -> DataFrame:
@@ -104,8 +109,10 @@ def candidates(reps: DataFrame, shards: int) -> DataFrame:
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
                 parts = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+                some = [k for k, p in enumerate(parts) if len(p)]  # never more rows than keys
+                parts = [parts[k] for k in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards, dtype=np.int32)), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([row[p].tobytes() for p in parts], pa.binary()), pa.array([own[np.unique(row[p])].tobytes() for p in parts], pa.binary())],
+                    [pa.array(some, pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([row[p].tobytes() for p in parts], pa.binary()), pa.array([own[np.unique(row[p])].tobytes() for p in parts], pa.binary())],
                     ["shard", "keys", "places", "ids"],
                 )
 
@@ -166,69 +173,89 @@ def smallest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of the representatives that link to another; clusters (rep, s1, s2, n, cluster)."""
+    """(node, component) of the representatives that link to another; clusters (rep, least, text_hash, s1, s2, n, cluster).
+
+    Texts are found again by id and hash, and by the hash alone where there is no id.
+    """
     spark = docs.sparkSession
+    # sizes of sets that link differ by a factor of 100 / percent at most, so by one class of sizes at most
+    size_class = F.floor(F.log(F.col("n")) / math.log(100 / percent) * 0.999).cast("int") if percent < 100 else F.col("n").cast("int")
+    classed = clusters.withColumn("class", size_class)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    total = sizes.agg(F.sum("weight")).first()[0] or 0
+    total, many = sizes.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    if not many:
+        return spark.createDataFrame([], "node long, component long")
     bins = max(2 * shuffle_partitions(spark), 8 * total // TASK_BYTES)
-    wanted = clusters.join(sizes, "cluster").select(F.col("rep"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), "cluster", (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    cut = stored(classed.groupBy("cluster", "class").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("blocks")), "cut")
+    near = [cut.select("cluster", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)) for step, name in ((1, "up"), (-1, "down"))]
+    around = cut.join(near[0], ["cluster", "class"], "left").join(near[1], ["cluster", "class"], "left").na.fill(0, ["up", "down"])
+    wanted = classed.join(sizes, "cluster").join(around, ["cluster", "class"])
+    wanted = wanted.select("rep", "least", F.col("text_hash").alias("h"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), "cluster", "class", (F.col("size") > BLOCK).alias("large"), "blocks", "up", "down")
+    carried = ("cluster", "class", "large", "blocks", "up", "down")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.columns[1:]
             for i, j, data, offsets in chunks(*text_buffer(batch.column(0))):
                 values, begin = shingle_sets(data, offsets, width)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(c)))]) for c in (1, 2)]
-                s1, s2 = ((s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums)
-                own = [c.slice(i, j - i) for c in rest]
-                same = pa.array((own[1].to_numpy() == s1) & (own[2].to_numpy() == s2))  # an id may come with other texts too
+                own = {name: batch.column(name).slice(i, j - i) for name in batch.schema.names[1:]}
+                same = [own[name].to_numpy() == (s[begin[1:]] - s[begin[:-1]]).view(np.int64) for name, s in zip(("c1", "c2"), sums, strict=True)]
                 packed = pa.array([values[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own[0], own[3], own[4], packed], ["rep", "cluster", "blocks", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([own["rep"], *(own[c] for c in carried), packed], ["rep", *carried, "shingles"]).filter(pa.array(same[0] & same[1]))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one plan at every size: the texts are dealt out by id, whatever the number of representatives
-    joined = texts.hint("merge").join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "rep", "c1", "c2", "cluster", "blocks")
-    sets = stored(joined.mapInArrow(run, "rep long, cluster long, blocks int, shingles binary"), "sets")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    without = texts.where("doc_id is null").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))  # any number of rows may lack an id
+    texts = texts.where("doc_id is not null").unionByName(without)
+    # one plan at every size: the texts are dealt out by id and hash, whatever the number of representatives
+    joined = texts.hint("merge").join(wanted, (texts["text_hash"] == wanted["h"]) & texts["doc_id"].eqNullSafe(wanted["least"])).select("text", "rep", "c1", "c2", *carried)
+    sets = stored(joined.mapInArrow(run, "rep long, cluster long, class int, large boolean, blocks int, up int, down int, shingles binary"), "sets")
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        rows = rows.drop_duplicates("rep")
-        for _, own in rows.groupby("cluster", sort=False):
+        for _, own in rows.drop_duplicates("rep").groupby("cluster", sort=False):
             ids = own["rep"].to_numpy()
             label = smallest(ids, *linked([np.frombuffer(s, np.uint64) for s in own["shingles"]], percent))
             out.append(pd.DataFrame({"node": ids, "component": label})[ids != label])
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "component": []})
+        return pd.concat(out)
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep")
-        rows = rows.sort_values(["block", "rep"])
-        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        first = None if lo == hi else int((rows["block"] == lo).sum())
+        rows = rows.drop_duplicates("rep").sort_values(["first", "rep"], ascending=[False, True])
+        same = bool((rows["lo"] == rows["hi"]).iloc[0])
+        first = None if same else int(rows["first"].sum())
         ids = rows["rep"].to_numpy()
         label = smallest(ids, *linked([np.frombuffer(s, np.uint64) for s in rows["shingles"]], percent, first))
         return pd.DataFrame({"a": label, "b": ids})[ids != label]
 
-    small = sets.where("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int")).groupBy("bin").applyInPandas(within, "node long, component long")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    large = sets.where("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    edges = stored(large.groupBy("cluster", "lo", "hi").applyInPandas(across, "a long, b long"), "links")
+    small = sets.where("not large").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int")).groupBy("bin").applyInPandas(within, "node long, component long")
+    own = F.struct("class", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    others = lambda n, step: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct((F.col("class") + step).alias("class"), k.alias("block"))))
+    nothing = F.array().cast("array<struct<class:int,block:int>>")
+    large = sets.where("large").withColumn("own", own).withColumn("other", F.explode(F.concat(*[F.coalesce(others(n, step), nothing) for n, step in (("blocks", 0), ("up", 1), ("down", -1))])))
+    large = large.select("rep", "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"), "shingles")
+    names = [F.concat_ws(":", F.col(f"{side}.class"), F.col(f"{side}.block")).alias(side) for side in ("lo", "hi")]
+    edges = stored(large.select("rep", "cluster", *names, "first", "shingles").groupBy("cluster", "lo", "hi").applyInPandas(across, "a long, b long"), "links")
     return small.unionByName(components(edges).where("node <> component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept."""
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept, text_hash, stays (one row of each component)."""
     spark = docs.sparkSession
     rows = stored(sketches(docs, width, id_col, text_col), "sketches")
-    full = rows.where("n > 0 and doc_id is not null")
-    classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "classes")
+    full = rows.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "text_hash")).alias("first")
+    classes = full.groupBy("n", "s1", "s2").agg(first, F.first("halves").alias("halves"))
+    classes = stored(classes.select("n", "s1", "s2", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("least"), "first.text_hash", "halves"), "classes")
     shards = max(3 * shuffle_partitions(spark), classes.count() * HALVES * HALVES * 8 // TASK_BYTES)
     edges = candidates(classes.select("rep", "halves"), shards)
     clusters = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
-    clusters = stored(classes.select("rep", "s1", "s2", "n").join(clusters, "rep"), "clusters")
+    clusters = stored(classes.select("rep", "least", "text_hash", "s1", "s2", "n").join(clusters, "rep"), "clusters")
     label = stored(links(docs, clusters, width, percent, id_col, text_col), "labels")
-    found = classes.select("n", "s1", "s2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = full.join(found, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = classes.select("n", "s1", "s2", "rep", "least").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # the row that stays: that with the smallest id, or the first one where none has an id
+    named = found.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("least").isNull(), "least", "rep")).alias("stays"))
+    found = found.join(named, found["component"] == named["c"]).select("n", "s1", "s2", F.col("stays.least").alias("component_id"), F.col("stays.rep").alias("stays"))
+    alone = rows.where("n = 0").select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"))
+    kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("stays")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = full.join(found, ["n", "s1", "s2"]).select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (F.col("row") == F.col("stays")).alias("stays"))
+    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "stays")

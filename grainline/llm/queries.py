@@ -66,7 +66,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_hash", "stays")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

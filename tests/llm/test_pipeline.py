@@ -52,7 +52,18 @@ def test_awkward_documents(spark, without_id, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
     assert docs.count() > 0
-    assert spark.read.parquet(f"{tmp_path}/2").where("doc_id is null").count() == 1  # the document without an id stays
+
+
+def test_rows_without_an_id_collapse_too(spark):
+    """Equal texts and near copies leave one row, whichever ids they have; repeated rows leave one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a.upper()), (None, b), (4, b), (4, b), (5, c), (5, c + " z"), (None, c + " y"), (7, a + " z"), (4, "other words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, docs, SF).collect()), key=str)
+    assert len(left) == 7 and [x for x in left if x[1].lower() != a] == sorted([(4, b), (4, "other words"), (5, c), (5, c + " z"), (7, a + " z"), (None, c + " y")], key=str)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in left], docs.schema).repartition(3)
+    near = sorted(r["text"] for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert len(near) == 4 and near[0] == a + " z" and near[1] == b and near[2] in (c, c + " z") and near[3] == "other words"
 
 
 def test_documents_without_a_label_stay(spark):
