@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from grainline.llm.common import shared_dir, ship
+from grainline.llm.common import shared_dir, ship, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language is undetermined or its pooled probability is below this.
 LEAST_SCORE = 0.3
+#: Keys of documents that go or repeat are broadcast up to so many, about 40 bytes each, and joined by a shuffle beyond.
+BROADCAST_KEYS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +35,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents that were kept. Those without an id are not told apart: they stay if one of them does."""
-    kept = decided.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """decided (doc_id, text_hash, n, stays): the documents that stay, one of the n rows alike in id and hash.
+
+    Only the keys of documents that go or repeat are joined; texts stay in place where these keys are few, which is
+    counted.
+    """
+    keys = decided.groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.max("stays").alias("k_stays"), F.sum("n").alias("n"))
+    odd = stored(keys.where("n > 1 or not k_stays").drop("n"), "odd_keys")
+    small = F.broadcast(odd) if odd.count() <= BROADCAST_KEYS else odd
+    marked = docs.withColumn("grain_hash", F.xxhash64("text"))
+    marked = marked.join(small, (marked["grain_hash"] == small["k_hash"]) & marked["doc_id"].eqNullSafe(small["k_id"]), "left")
+    again = marked.where("k_stays").dropDuplicates(["doc_id", "grain_hash"])
+    return marked.where("k_stays is null").unionByName(again).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     ship(spark)
-    return staying(docs, exact_dedup.dedup(docs))
+    found = stored(exact_dedup.dedup(docs).select("doc_id", "text_hash", "text_sha256", "kept"), "exact")
+    chosen = found.where("kept").groupBy("text_sha256").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*", F.lit(True).alias("stays"))
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    return staying(docs, rows.withColumn("stays", F.lit(False)).unionByName(chosen.withColumn("n", F.lit(0).cast("long"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     ship(spark)
-    return staying(docs, near_dedup.near_duplicates(docs))
+    found = near_dedup.near_duplicates(docs)
+    return staying(docs, found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
