@@ -62,3 +62,31 @@ def test_hot_source_and_quality(spark):
         part = [r for r in own if r["taken"] % 6 == 3]
         if 100 < len(part) < len(own) - 100 and own[0]["target"] < own[0]["source_size"]:
             assert sum(r["doc_id"] % 2 for r in part) > 0.6 * len(part)
+
+
+def test_keys_that_agree_in_any_number_of_digits(spark, monkeypatch):
+    """The cut equals that of an ordered list, for keys that are close, equal or of few values."""
+    import random
+
+    draw = random.Random(2)
+    for spread in (4, 5000, 2**30, 2**59):
+        rows = [(draw.choice(["a", "b", None]), draw.randrange(0, 9), draw.randrange(spread)) for _ in range(400)]
+        df = spark.createDataFrame(rows, "source string, grain_size long, grain_key long")
+        for r in mixing.cuts(df, budget=0.6).collect():
+            own, upto, want = sorted((k, n) for s, n, k in rows if s == r["s"]), 0, -1
+            rest = r["target"] - r["full"] * r["source_size"]
+            for key in sorted({k for k, _ in own}):
+                n = sum(m for k, m in own if k == key)
+                want = key if upto + n / 2 <= rest else want
+                upto += n
+            taken = [k for k, _ in own if r["cut"] is not None and k <= r["cut"]]
+            assert [k for k, n in own if n and k <= want] == [k for k, n in own if n and k in taken], (spread, r)
+
+
+def test_labels_are_the_quality(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).where("doc_id < 2000").unionByName(docs.select("doc_id", F.lit(0).alias("quality")).where("doc_id < 10"))
+    rows = mixing.mix(docs, labels=labels.withColumn("source", F.lit("x")), budget=0.5).collect()
+    assert len(rows) == 3000
+    share = lambda part: sum(r["taken"] > 0 for r in rows if part(r["doc_id"])) / sum(part(r["doc_id"]) for r in rows)
+    assert share(lambda i: i < 2000 and i % 2) > 1.5 * share(lambda i: i < 2000 and not i % 2)
