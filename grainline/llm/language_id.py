@@ -3,7 +3,8 @@
 The network is trained on the driver by backpropagation through time, in numpy, on a bounded sample: up to
 ``TRAIN_DOCS`` documents of each language, ``TRAIN_SLICES`` slices of each. In use it reads whole texts in segments of
 ``SEGMENT`` bytes, gives every byte a probability of each language, and pools them to the document's mean; segments of
-many documents run side by side.
+many documents run side by side. Each direction reads ``CONTEXT`` bytes before it comes to a segment, so that its state is
+warm where the segment begins.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was learned; rows without a
 language are never learned from; repeated rows get equal results; other columns are ignored.
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from grainline.llm.common import chunks, text_buffer
 
-HIDDEN, SEGMENT, LANES = 8, 128, 2048
+HIDDEN, SEGMENT, CONTEXT, LANES = 8, 128, 32, 2048
 TRAIN_DOCS, TRAIN_SLICES, SLICE, STEPS, BATCH, RATE = 400, 4, 96, 260, 128, 0.02
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,10 +46,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _walk(p: dict[str, np.ndarray], d: str, x: np.ndarray, kept: list | None = None, mask: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, hidden state) in the order of the direction; x: positions by lanes. Padding leaves the state at 0."""
+def _walk(p: dict[str, np.ndarray], d: str, x: np.ndarray, kept: list | None = None, mask: np.ndarray | None = None, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, hidden state) in the order of the direction, to position stop or the end; x: positions by lanes. Padding leaves the state at 0."""
     wx, wh, h = p[f"wx_{d}"], p[f"wh_{d}"], np.zeros((HIDDEN, x.shape[1]), np.float32)
-    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+    for t in range(len(x) if stop is None else stop + 1) if d == "f" else range(len(x) - 1, -1 if stop is None else stop - 1, -1):
         g, u = np.take(wx, x[t], axis=1, mode="clip"), wh @ h
         zr = _sigmoid(g[: 2 * HIDDEN] + u[: 2 * HIDDEN])
         z, r = zr[:HIDDEN], zr[HIDDEN:]
@@ -134,29 +135,44 @@ def pooled(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> n
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         top = int(length[own[0]])
-        where = np.minimum(begin[own] + np.arange(top)[:, None], (begin + length - 1)[own])
-        x = data[where].astype(np.intp)
-        mask = (np.arange(top)[:, None] < length[own]).astype(np.float32) if length[own[-1]] < top else None
+        at_ = begin[own] - CONTEXT + np.arange(top + 2 * CONTEXT)[:, None]
+        inside = (at_ >= offsets[doc[own]]) & (at_ < offsets[doc[own] + 1])
+        x = data[np.clip(at_, 0, len(data) - 1)].astype(np.intp)
+        mask, counts = inside.astype(np.float32), (np.arange(top)[:, None] < length[own]).astype(np.float32)
         ahead = np.empty((top, len(p["bias"]), len(own)), np.float32)
-        for t, h in _walk(p, "f", x):
-            np.matmul(p["out_f"], h, out=ahead[t])
+        for t, h in _walk(p, "f", x, mask=mask, stop=top + CONTEXT - 1):
+            if t >= CONTEXT:
+                np.matmul(p["out_f"], h, out=ahead[t - CONTEXT])
         total = np.zeros((len(p["bias"]), len(own)), np.float32)
-        for t, h in _walk(p, "b", x, mask=mask):
-            found = _softmax(ahead[t] + p["out_b"] @ h + p["bias"])
-            total += found if mask is None else found * mask[t]
+        for t, h in _walk(p, "b", x, mask=mask, stop=CONTEXT):
+            if t < top + CONTEXT:
+                total += _softmax(ahead[t - CONTEXT] + p["out_b"] @ h + p["bias"]) * counts[t - CONTEXT]
         for k in range(len(total)):
             sums[k] += np.bincount(doc[own], weights=total[k], minlength=len(sizes))
     return (sums / np.maximum(sizes, 1)).T
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(slice, language): at most TRAIN_DOCS documents a language, the first by hash, TRAIN_SLICES slices of each."""
+    """(slice, language): TRAIN_DOCS documents a language, or all if fewer, the first by hash; TRAIN_SLICES slices of each.
+
+    Languages are counted first, and a hash threshold leaves a few times TRAIN_DOCS rows of each to be ranked.
+    """
     text, span = F.col(text_col).cast("string"), F.greatest(F.length(text_col) - SLICE, F.lit(1))
     slices = F.array(*[F.substring(text, (F.pmod(F.xxhash64(F.lit(k), id_col), span) + 1).cast("int"), F.lit(SLICE)) for k in range(TRAIN_SLICES)])
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), slices.alias("slices"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "slices"))).where(F.col("n") <= TRAIN_DOCS)
-    found = first.select("lang", "n", "slices").collect()  # TRAIN_DOCS rows a language at most
-    return [(s, r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["n"])) for s in r["slices"]]
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, slices).alias("h"), F.col(id_col).alias("id"), slices.alias("slices"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not counts:
+        return []
+    margin = 4
+    while True:
+        share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, margin * TRAIN_DOCS / n))]), F.col("lang"))
+        few = rows.where(F.pmod("h", F.lit(2**30)) < share * float(2**30))
+        first = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**30)), "h", "id", "slices"))).where(F.col("n") <= TRAIN_DOCS)
+        found = first.select("lang", "n", "slices").collect()  # TRAIN_DOCS rows a language at most
+        had = {lang: sum(r["lang"] == lang for r in found) for lang in counts}
+        if all(had[lang] >= min(n, TRAIN_DOCS) for lang, n in counts.items()):
+            return [(s, r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["n"])) for s in r["slices"]]
+        margin *= 4  # many rows alike share a hash
 
 
 def predict(docs: DataFrame, languages: list[str], p: dict[str, np.ndarray] | None, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:

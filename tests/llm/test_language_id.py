@@ -59,3 +59,46 @@ def test_pooling_is_per_document():
         alone = language_id.pooled(p, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
         assert np.allclose(together[i], alone, atol=1e-6)
         assert not len(t) or abs(alone.sum() - 1) < 1e-5
+
+
+def plain(p, text):
+    """The mean probabilities of one text, position by position, without lanes."""
+    n, size, wide = len(text), language_id.HIDDEN, language_id.CONTEXT
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, places):
+        h, out = np.zeros(size), {}
+        for t in places:
+            g, u = p[f"wx_{d}"][:, text[t]].astype(float), p[f"wh_{d}"].astype(float) @ h
+            z, r = sig(g[:size] + u[:size]), sig(g[size : 2 * size] + u[size : 2 * size])
+            h = (1 - z) * np.tanh(g[2 * size :] + r * u[2 * size :]) + z * h
+            out[t] = h
+        return out
+
+    total = np.zeros(len(p["bias"]))
+    for a in range(0, n, language_id.SEGMENT):
+        b = min(n, a + language_id.SEGMENT)
+        ahead, back = states("f", range(max(0, a - wide), b)), states("b", range(min(n, b + wide) - 1, a - 1, -1))
+        for t in range(a, b):
+            e = np.exp(p["out_f"] @ ahead[t] + p["out_b"] @ back[t] + p["bias"][:, 0])
+            total += e / e.sum()
+    return total / n
+
+
+def test_network_equals_a_plain_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    languages, p = language_id.learned(docs, F.col("lang").isNotNull())
+    rows = language_id.predict(docs, languages, p, keep=("doc_id", "text")).collect()
+    assert max(len(r["text"]) for r in rows) > 2 * language_id.SEGMENT
+    for r in sorted(rows, key=lambda r: len(r["text"]))[:40]:
+        want = plain(p, r["text"].encode())
+        assert languages[int(want.argmax())] == r["lang_pred"] and abs(want.max() - r["score"]) < 1e-4
+
+
+def test_a_sample_is_the_same_size_at_any_count(spark, monkeypatch):
+    """Many rows of a language, few of another, and a row that repeats."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 5)
+    rows = [(i, f"text number {i}", "en") for i in range(500)] + [(1000 + i, "texte", "fr") for i in range(3)] + [(2000, "wort", "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [lang for _, lang in language_id.sample(docs, F.lit(True), "doc_id", "text", "lang")]
+    assert {lang: found.count(lang) // language_id.TRAIN_SLICES for lang in set(found)} == {"en": 5, "fr": 3, "de": 5}
