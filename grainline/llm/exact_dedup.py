@@ -1,7 +1,7 @@
 """Exact dedup by a minimal perfect hash over the digests of an earlier corpus.
 
 ``digests`` hashes every normalised text. ``build_index`` turns the distinct digests of the history into shards, each a
-minimal perfect hash whose slots hold the full digest, the winner's doc_id and the group's size. ``absorb`` looks the
+minimal perfect hash, stored as its bits, whose slots hold the full digest, the winner's doc_id and the group's size. ``absorb`` looks the
 distinct digests of a batch up: a slot that holds the very same bytes is a member and may take a larger winner, every
 other digest forms a group of its own. Hot groups are folded to one row before any shuffle by digest.
 
@@ -62,6 +62,24 @@ class MinimalPerfectHash:
             left = left[~alone[spot]]
         self.rest = {keys[i].tobytes(): at + k for k, i in enumerate(left)}
 
+    def dumped(self) -> bytes:
+        """The hash without its keys: levels as bits, then the keys that no level took, in slot order."""
+        head = [len(self.levels), self.n, *(m for m, _, _, _ in self.levels)]
+        return np.array(head, "<u8").tobytes() + b"".join([*(np.packbits(alone).tobytes() for _, _, alone, _ in self.levels), *self.rest])
+
+    @classmethod
+    def loaded(cls, data: bytes) -> MinimalPerfectHash:
+        out = cls.__new__(cls)
+        many, out.n = (int(x) for x in np.frombuffer(data, "<u8", 2))
+        sizes, at, byte = np.frombuffer(data, "<u8", many, 16).tolist(), 0, 16 + 8 * many
+        out.levels = []
+        for m in sizes:
+            alone = np.unpackbits(np.frombuffer(data, np.uint8, -(-m // 8), byte), count=m).astype(bool)
+            out.levels.append((m, at, alone, np.cumsum(alone) - 1))
+            at, byte = at + int(alone.sum()), byte + -(-m // 8)
+        out.rest = {data[b : b + 32]: at + k for k, b in enumerate(range(byte, len(data), 32))}
+        return out
+
     @staticmethod
     def _spot(keys: np.ndarray, level: int, m: int) -> np.ndarray:
         x = np.full(len(keys), (0x9E3779B97F4A7C15 * (level + 1)) % 2**64, np.uint64)
@@ -87,18 +105,19 @@ def _words(digest: pd.Series) -> np.ndarray:
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
-    """(shard, slots): for each shard the digests, winners and sizes in slot order; the hash is rebuilt from them."""
+    """For each shard the hash, and the digests, winners and sizes in slot order."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.empty(len(rows), np.int64)
-        order[MinimalPerfectHash(_words(rows["digest"])).slots(_words(rows["digest"]))] = np.arange(len(rows))
+        found = MinimalPerfectHash(_words(rows["digest"]))
+        order[found.slots(_words(rows["digest"]))] = np.arange(len(rows))
         rows = rows.iloc[order]
         return pd.DataFrame({
-            "shard": [int(rows["shard"].iloc[0])], "digests": [b"".join(rows["digest"])],
+            "shard": [int(rows["shard"].iloc[0])], "hash": [found.dumped()], "digests": [b"".join(rows["digest"])],
             "winners": [rows["winner"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64).tobytes()], "sizes": [rows["n"].to_numpy(np.int64).tobytes()],
         })
 
-    return history.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, digests binary, winners binary, sizes binary")
+    return history.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, hash binary, digests binary, winners binary, sizes binary")
 
 
 def _shard(shards: int):
@@ -119,7 +138,7 @@ def absorb(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
         size = np.frombuffer(slots["sizes"].iloc[0], np.int64).copy() if len(slots) else np.zeros(0, np.int64)
         asked = _words(rows["digest"]) if len(rows) else np.zeros((0, 4), np.uint64)
         new_winner, new_size = rows["winner"].fillna(none).to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        slot = MinimalPerfectHash(keys).slots(asked)
+        slot = MinimalPerfectHash.loaded(slots["hash"].iloc[0]).slots(asked) if len(slots) else np.full(len(asked), -1, np.int64)
         member = slot >= 0
         member[member] = (keys[slot[member]] == asked[member]).all(axis=1)
         hit = slot[member]

@@ -44,3 +44,13 @@ def test_perfect_hash(n):
     assert sorted(made.slots(keys)) == list(range(n))
     other = made.slots(draw.integers(0, 2**63, (500, 4), dtype=np.uint64))
     assert ((other >= -1) & (other < max(n, 1))).all()
+
+
+@pytest.mark.parametrize("levels", [0, 2, 48])
+def test_a_stored_hash_gives_the_same_slots(monkeypatch, levels):
+    monkeypatch.setattr(exact_dedup, "LEVELS", levels)
+    keys = np.random.default_rng(5).integers(0, 2**63, (3000, 4), dtype=np.uint64)
+    made = exact_dedup.MinimalPerfectHash(keys)
+    again = exact_dedup.MinimalPerfectHash.loaded(made.dumped())
+    assert (again.slots(keys) == made.slots(keys)).all() and bool(again.rest) == (levels < 48)
+    assert levels < 48 or len(made.dumped()) < 3000  # some bits a key, no digests
