@@ -171,17 +171,21 @@ def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return point, lead
 
 
+def coder(path: str) -> Coder:
+    """The file's coder, one a Python worker."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the document's ids and a separator, cut only beyond capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _coders:
-            _coders[tokenizer_path] = Coder(tokenizer_path)
-        coder = _coders[tokenizer_path]
         for batch in batches:
             ids = batch.column(0)
             for i, _, data, offsets in chunks(*text_buffer(batch.column(1)), limit=CHUNK):
-                all_ids, ends = coder(data, offsets)
+                all_ids, ends = coder(tokenizer_path)(data, offsets)
                 pieces = -(-np.diff(ends) // capacity)
                 row = np.repeat(np.arange(len(pieces)), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

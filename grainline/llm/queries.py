@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +26,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come; a tenth is counted anew by a second tokenizer version, twice by mistake; a seventeenth goes."""
-    counts = [token_rollup.token_count(F.col("text"), v).alias(c) for v, c in (("words-1", "words"), ("alnum-2", "alnum"))]
-    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts), "counted")
+    """All documents come; a tenth is counted anew by another tokenizer, twice by mistake; a seventeenth goes."""
+    import public_tokenizers
+
     anew, goes = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)), F.coalesce(F.col("doc_id") % 17 == 0, F.lit(False))
+    first, second = "word_bpe_49k", "byte_bpe_50k"
+    versions = {name: (public_tokenizers.path(f"{name}.json"), which) for name, which in ((first, F.lit(True)), (second, anew))}
+    docs = stored(token_rollup.counted(table(spark, sf_dir, "documents"), versions), "counted")
     rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("1", token_rollup.signed(docs, "words-1", 1, "words"))
-    revised = token_rollup.signed(docs.where(anew), "words-1", -1, "words").union(token_rollup.signed(docs.where(anew), "alnum-2", 1, "alnum"))
+    rollup.commit("1", token_rollup.signed(docs, first, 1, first))
+    revised = token_rollup.signed(docs.where(anew), first, -1, first).union(token_rollup.signed(docs.where(anew), second, 1, second))
     rollup.commit("2", revised)
     rollup.commit("2", revised)
     gone = docs.where(goes)
-    rollup.commit("3", token_rollup.signed(gone.where(~anew), "words-1", -1, "words").union(token_rollup.signed(gone.where(anew), "alnum-2", -1, "alnum")))
+    rollup.commit("3", token_rollup.signed(gone.where(~anew), first, -1, first).union(token_rollup.signed(gone.where(anew), second, -1, second)))
     return rollup.totals()
 
 
@@ -44,7 +47,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = language_id.identify(docs, F.coalesce(~held_out, F.lit(False)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, text, len(coalesce(regexp_extract_all(text, '{WORD}'), [])) AS size FROM documents),
-k AS (SELECT *, -ln((('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
-        / CASE WHEN length(text) / greatest(size, 1) BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key FROM d),
+q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+k AS (SELECT d.*, -ln((('0x' || substr(md5('0:' || d.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+        / CASE WHEN quality > 0 THEN 1.0 WHEN quality IS NOT NULL THEN 0.2 WHEN length(text) / greatest(size, 1) BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key FROM d LEFT JOIN q USING (doc_id)),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2 * source_size AS bound FROM s),
 l AS (SELECT *, (1.5 * sum(source_size) OVER () - (sum(bound) OVER o - bound)) / (sum(w) OVER () - sum(w) OVER o + w) AS level
@@ -94,11 +98,6 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target,
   ((epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r""",
-    "op3_token_rollup": rf"""
-WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN 'alnum-2' ELSE 'words-1' END AS tokenizer_version,
-        CASE WHEN doc_id % 10 = 0 THEN len(coalesce(regexp_extract_all(text, '[A-Za-z0-9]+'), [])) ELSE len(coalesce(regexp_extract_all(text, '{WORD}'), [])) END AS n
-      FROM documents WHERE doc_id % 17 <> 0)
-SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM d GROUP BY ALL""",
     "op8_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
