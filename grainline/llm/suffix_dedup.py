@@ -11,9 +11,12 @@ equal anchors at equal distances, and the windows of a document fall into runs w
    with very many segments is dealt out window by window instead; equal windows are folded before they meet in a task.
 3. Per document the windows that go become removed bytes.
 
+Anchors have 64-bit fingerprints from sums over bytes, segments from sums over scrambled groups of eight bytes: two ways
+that know nothing of each other, 128 bits together.
+
 A null text is empty. Windows are compared by (doc_id, start). Rows without an id come last, each with a place of its own.
-Other ids should be unique: places with equal id and start count as one, and rows that share an id share their removed
-spans, cut to their length. An empty table gives an empty result; other columns are ignored.
+Rows that repeat an id and a text are one place. Texts that share an id are documents of their own, in the order of their
+hashes. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.llm.common import chunks, prefix_hash, shuffle_partitions, stored, substring_hash, text_buffer
+from grainline.llm.common import chunks, mix, powers, prefix_hash, shuffle_partitions, stored, substring_hash, text_buffer
 
 LENGTH, GRAM = 100, 32
 #: Anchors with more segments than this are dealt out window by window. Those that a partition has OFTEN segments of are
@@ -60,6 +63,22 @@ def runs(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int, g
     return window[new], window[np.concatenate([new[1:], [len(window)]]) - 1] if len(new) else new, anchor[new]
 
 
+def segment_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums over the scrambled eight bytes at every place; segment_hash turns two of them into a fingerprint."""
+    n = max(0, len(data) - 7)
+    out = np.zeros(n + 1, np.uint64)
+    if n:
+        eight = np.ndarray((n,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+        np.cumsum(mix(eight + np.uint64(0xA0761D6478BD642F)) * powers(n)[0], out=out[1:])
+    return out
+
+
+def segment_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the bytes [start, end), eight at least."""
+    _, down = powers(len(sums))
+    return mix((sums[end - 7] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def _join(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
@@ -99,16 +118,17 @@ def dealt(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         shard = ((anchor[at] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         at, edges = at[order], np.searchsorted(shard[order], np.arange(shards + 1))
-        deal = np.array_split(gone, shards)
-        columns = [pa.array(np.arange(shards, dtype=np.int32))]
+        full = np.flatnonzero(np.diff(edges))  # never more rows than runs
+        deal = np.array_split(gone, max(1, len(full)))
+        columns = [pa.array(full.astype(np.int32))]
         for x, kind in zip((anchor, segment, doc, lo, many, ahead), _RUN.values(), strict=True):
             x = x.astype(kind)[at]
-            columns.append(pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()))
+            columns.append(pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()))
         for x, kind in zip((doc, lo, many), _GONE.values(), strict=True):
-            columns.append(pa.array([x[g].astype(kind).tobytes() for g in deal], pa.binary()))
+            columns.append(pa.array([x[g].astype(kind).tobytes() for g in deal[: len(full)]], pa.binary()))
         names, n = np.unique(anchor[at], return_counts=True)
         for x in (names.view(np.int64), n):
-            columns.append(pa.array([x[n >= OFTEN].tobytes()] + [b""] * (shards - 1), pa.binary()))
+            columns.append(pa.array(([x[n >= OFTEN].tobytes()] + [b""] * len(full))[: len(full)], pa.binary()))
         return pa.RecordBatch.from_arrays(columns, names=["shard", *_RUN, *_GONE, *_OFTEN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +139,7 @@ def dealt(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
                 sums = prefix_hash(data)
                 lo, hi, anchor = runs(data, offsets, sums, length, gram)
                 doc = np.searchsorted(offsets, lo, side="right") - 1
-                parts.append((substring_hash(sums, anchor, anchor + gram), substring_hash(sums, lo, hi + length), ids[i + doc], (lo - offsets[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8), (anchor - lo).astype(np.uint8)))
+                parts.append((substring_hash(sums, anchor, anchor + gram), segment_hash(segment_sums(data), lo, hi + length), ids[i + doc], (lo - offsets[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8), (anchor - lo).astype(np.uint8)))
                 size += len(lo)
                 if size > FLUSH_RUNS:
                     yield flush(parts)
@@ -427,6 +447,26 @@ def sorted_out(segments: DataFrame, blocks: int, length: int) -> DataFrame:
     return segments.groupBy("shard").applyInPandas(sort, f"block long, {_schema(_GONE)}")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with the ranks of (id, hash of the text) as ids, for tables in which texts share ids; and (rank, id).
+
+    Ranks are counts: rows are ordered in ranges, and each range begins where those before it end.
+    """
+    keys = docs.where("id is not null").select("id", F.xxhash64("text").alias("h")).distinct()
+    keys = stored(keys.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "h", F.monotonically_increasing_id().alias("at")), "ranks")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    counts = keys.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per range
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    ranks = stored(keys.join(F.broadcast(before), part == F.col("part")).select("id", "h", (F.col("before") + inside).alias("rank")), "ranked")
+    named = docs.where("id is not null").withColumn("h", F.xxhash64("text")).join(ranks, ["id", "h"]).select(F.col("rank").alias("id"), "text")
+    return named.unionByName(docs.where("id is null")), ranks.select(F.col("rank"), F.col("id").alias("own"))
+
+
+def prime(n: int) -> int:
+    """The least prime number from n on: blocks of ids in equal steps stay even."""
+    return next(k for k in range(max(n, 2), 2 * n + 3) if all(k % d for d in range(2, math.isqrt(k) + 1)))
+
+
 def placed(docs: DataFrame, largest: int | None) -> tuple[DataFrame, int]:
     """docs with the last of all numbers as ids of the rows without one, and how many these are.
 
@@ -480,11 +520,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, largest, without_id = docs.agg(F.sum(F.octet_length("text")), F.max("id"), F.count_if(F.col("id").isNull())).first()
-    size = int(size or 0)
+    size, own = int(size or 0), None
+    text_hash = F.xxhash64("text")
+    if not docs.where("id is not null").groupBy("id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where("a <> b").isEmpty():
+        docs, own = numbered(docs)
+        largest = own.agg(F.max("rank")).first()[0]
     if without_id:
         docs, without_id = placed(docs, largest)
     partitions = shuffle_partitions(spark)
-    blocks = max(2 * partitions, size // TEXT_BYTES)
+    blocks = prime(max(2 * partitions, size // TEXT_BYTES))
     shards = max(2 * partitions, size // RUN_BYTES)  # packed runs take about as many bytes as the text
     packed = stored(dealt(docs, shards, length, gram), "runs")
     hot = hot_anchors(packed)
@@ -502,4 +546,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         folds = max(1, max(2 * partitions, asked_hot // SORT_BYTES) // salts_of(blocks))
         segments = segments.unionByName(hot_windows(texts, asks.where("a_hot"), blocks, sort_shards, folds, length))
     more = sorted_out(segments, blocks, length)
-    return cleaned(texts, gone.unionByName(more), length, with_text, without_id)
+    out = cleaned(texts, gone.unionByName(more), length, with_text, without_id)
+    return out if own is None else out.join(own, out["doc_id"] == own["rank"], "left").withColumn("doc_id", F.col("own")).drop("rank", "own")

@@ -69,7 +69,7 @@ def test_hot_windows_are_folded_before_they_meet(spark, monkeypatch, often):
             windows.update({data[k : k + 100] for k in range(at, at + size - 99)})
             at += size
     shared = [windows[passage[k : k + 100].encode()] for k in range(11)]
-    blocks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = suffix_dedup.prime(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     assert max(windows.values()) <= suffix_dedup.salts_of(blocks) and any(shared)
 
 
@@ -91,6 +91,29 @@ def test_rows_without_an_id_have_places_of_their_own(spark):
     assert [r["doc_id"] for r in last] == [2**63 - 1]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    """Each loses what an earlier one has, and nothing else; repeated rows are one place."""
+    draw = np.random.default_rng(7)
+    a, b, c, d = ("".join(draw.choice(list("abcdefgh "), 150)) for _ in range(4))
+    rows = [(5, a), (5, b + c), (5, d), (5, d), (7, c + "x" + a), (6, b), (-2, "short"), (None, d), (8, None)]
+    got = {}
+    for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"]))
+    assert {i: sorted(x) for i, x in got.items()} == {5: [(150, 0), (150, 0), (150, 0), (300, 0)], 7: [(301, 300)], 6: [(150, 150)], -2: [(5, 0)], None: [(150, 150)], 8: [(0, 0)]}
+
+
+def test_segment_hashes_tell_strings_apart():
+    """Strings of two letters on which sums over bytes modulo 2**64 agree, and equal strings at other places."""
+    word = "ab"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + other + "x" + word).encode(), np.uint8)
+    n, sums = len(word), suffix_dedup.segment_sums(data)
+    h = suffix_dedup.segment_hash(sums, np.array([0, n, 2 * n + 1]), np.array([n, 2 * n, 3 * n + 1]))
+    assert h[0] == h[2] != h[1]
+
+
 def test_kept_text(spark):
     text = "0123456789" * 9 + "abcdefghij" * 3
     df = spark.createDataFrame([(1, text), (2, "x" + text + "y")], "doc_id long, text string")
