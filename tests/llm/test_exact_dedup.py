@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from llm_helpers import rows_of
 
-from helpers import SF, same
-from grainline.llm import exact_dedup, queries
+from grainline.llm import exact_dedup
 
 
 def brute(rows):
@@ -15,10 +14,6 @@ def brute(rows):
     return sorted((i, max(g), len(g), i == max(g), k) for k, g in groups.items() for i in g)
 
 
-def test_query(spark, duck):
-    same(queries.op10_exact_dedup(spark, SF), duck, queries.ORACLES["op10_exact_dedup"])
-
-
 def test_awkward_rows(odd, none, without_id):
     got = rows_of(exact_dedup.dedup(odd), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute([(r["doc_id"], r["text"]) for r in odd.collect()])
