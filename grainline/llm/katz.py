@@ -208,7 +208,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     partitions = shuffle_partitions(spark)
-    buckets = max(partitions, int(size) // (2 * BLOCK_BYTES))
+    buckets = max(partitions, 2 * int(size) // BLOCK_BYTES)
     name = f"katz_{uuid.uuid4().hex}"
     coded(docs, held_out, id_col, text_col).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
