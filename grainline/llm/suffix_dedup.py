@@ -38,9 +38,9 @@ LENGTH, GRAM = 100, 32
 #: counted before any shuffle, and up to HOT_ANCHORS of the most frequent never meet in one shard.
 MANY, OFTEN, HOT_ANCHORS = 2_000, 32, 50_000
 #: Bytes of text that are fingerprinted at once, of a document block, of packed runs of a shard, and of segments whose suffixes one task sorts, about.
-CODE_BYTES, TEXT_BYTES, RUN_BYTES, SORT_BYTES = 1 << 20, 4 << 20, 4 << 20, 1 << 20
+CODE_BYTES, TEXT_BYTES, RUN_BYTES, SORT_BYTES = 1 << 20, 4 << 20, 4 << 20, 3 << 18
 #: Runs that a task folds and sends at once.
-FLUSH_RUNS = 500_000
+FLUSH_RUNS = 400_000
 LAST = int(np.iinfo(np.int64).max)
 
 
