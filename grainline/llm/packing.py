@@ -29,7 +29,7 @@ from grainline.llm.common import chunks, prefix_hash, stored, substring_hash, te
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Pre-tokens of one generation of a Python worker's memory, of which two are kept, and bytes of text coded at once.
-MEMORY_WORDS, CHUNK = 200_000, 4 << 20
+MEMORY_WORDS, CHUNK = 80_000, 1 << 20
 #: The normaliser and pre-tokens that Coder finds by itself.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
