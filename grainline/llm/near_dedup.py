@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from grainline.llm.common import chunks, components, mix, shuffle_partitions, stored, text_buffer, word_hashes
 
 HALVES, ROWS, BLOCK, COLUMNS = 14, 3, 512, 4096
+#: Sets whose table keys are made and packed at once.
+PACKED = 4096
 #: Bytes of packed keys or sets that one task should get, about.
 TASK_BYTES = 8 << 20
 _draw = np.random.default_rng(411)
@@ -100,8 +102,8 @@ def candidates(reps: DataFrame, shards: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 8192):
-                own = ids[at : at + 8192]
+            for at in range(0, len(ids), PACKED):
+                own = ids[at : at + PACKED]
                 keys = table_keys(np.frombuffer(b"".join(batch.column(1).slice(at, len(own)).to_pylist()), np.uint64).reshape(len(own), -1))
                 row = np.repeat(np.arange(len(own), dtype=np.uint16), keys.shape[1])
                 keys = keys.ravel()
