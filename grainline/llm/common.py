@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once in a task; a longer document is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts of some KB make that tens of MB, twice.
+BATCH_ROWS = 2_000
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,10 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a session, for clusters on which it isn't installed."""
+    """Sends this package to the executors' Python, once a session, for clusters on which it isn't installed.
+
+    Arrow batches become smaller, too, unless the session has a size of its own.
+    """
     import shutil
     from pathlib import Path
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
     if getattr(context, "_grainline_shipped", False):
         return

@@ -97,6 +97,10 @@ class Coder:
             self.young, self.old = {}, young
         return out
 
+    def forget(self) -> None:
+        """Between tasks a worker remembers no words."""
+        self.young, self.old = {}, {}
+
     def _alone(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts go through the tokenizer whole."""
         if not self.known:
@@ -196,6 +200,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id
                     [ids.take(pa.array(i + row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        coder(tokenizer_path).forget()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
