@@ -1,4 +1,4 @@
-"""Command line: catalog validate, compatibility and audit; knowledge write and sync. Exit 0 if the report passed."""
+"""Command line: catalog validate, compatibility and audit. Exit 0 if the report passed."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 import sys
 from collections.abc import Sequence
 
-from grainline import knowledge, verify
+from grainline import verify
 from grainline.catalog import load
 from grainline.errors import CatalogError
 
@@ -24,11 +24,6 @@ def main(argv: Sequence[str] | None = None) -> int:
     catalog = areas.add_parser("catalog").add_subparsers(dest="command", required=True)
     for name in ("validate", "compatibility", "audit"):
         catalog.add_parser(name).add_argument("catalog")
-    bundle = areas.add_parser("knowledge").add_subparsers(dest="command", required=True)
-    for name in ("write", "sync"):
-        own = bundle.add_parser(name)
-        own.add_argument("catalog")
-        own.add_argument("folder")
     args = parser.parse_args(argv)
     try:
         layer = load(args.catalog)
@@ -38,13 +33,6 @@ def main(argv: Sequence[str] | None = None) -> int:
     except OSError:
         print(json.dumps({"error": "the catalog can't be read"}))
         return 1
-    if args.area == "knowledge":
-        if args.command == "write":
-            knowledge.write(layer, args.folder)
-            return 0
-        done = knowledge.sync(layer, args.folder)
-        print(json.dumps(vars(done), sort_keys=True))
-        return int(bool(done.conflicts))
     report = {"validate": lambda: verify.static(layer), "compatibility": lambda: verify.compatibility(layer), "audit": lambda: verify.physical(layer, _session())}[args.command]()
     print(report.to_json())
     return int(not report.passed)
