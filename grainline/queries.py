@@ -29,9 +29,13 @@ def engine(spark: SparkSession, sf_dir: str):
     return _engines[key]
 
 
+#: Columns of small numbers.
+FINE = ("average_discount", "return_rate", "margin", "good_share", "taxed", "average_price", "average_value")
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to two digits: sums of doubles depend on the order of rows."""
-    return df.select(*[F.round(f"`{f.name}`", 2).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
+    """Doubles to two digits, and shares and averages to six: sums of doubles depend on the order of rows."""
+    return df.select(*[F.round(f"`{f.name}`", 6 if f.name in FINE else 2).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def ask(name: str, sql: str, metrics: list[str], dimensions: list[str] | None = None, filters: dict | None = None) -> None:
@@ -51,10 +55,10 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 _LO = "lineitem JOIN orders ON o_orderkey = l_orderkey"
 _LP = "lineitem JOIN part ON p_partkey = l_partkey"
-ask("flagship", f"SELECT p_brand AS brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue, round(avg(l_discount), 2) AS average_discount FROM {_LP} JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1", ["net_revenue", "average_discount"], ["brand"], {"order_status": ["F", "O"]})
+ask("flagship", f"SELECT p_brand AS brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue, round(avg(l_discount), 6) AS average_discount FROM {_LP} JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1", ["net_revenue", "average_discount"], ["brand"], {"order_status": ["F", "O"]})
 ask("dim_projection", "SELECT l_returnflag AS return_flag, count(l_quantity) AS lines FROM lineitem GROUP BY 1", ["lines"], ["return_flag"])
 ask("fact_expr", "SELECT l_linestatus AS line_status, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue FROM lineitem GROUP BY 1", ["net_revenue"], ["line_status"])
-ask("metric_ratio", "SELECT l_linenumber AS line_number, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / sum(l_quantity), 2) AS return_rate FROM lineitem GROUP BY 1", ["return_rate"], ["line_number"])
+ask("metric_ratio", "SELECT l_linenumber AS line_number, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / sum(l_quantity), 6) AS return_rate FROM lineitem GROUP BY 1", ["return_rate"], ["line_number"])
 ask("alias_isolation", "SELECT o_orderstatus AS order_status, count(DISTINCT o_orderkey) AS segment FROM orders GROUP BY 1", ["segment"], ["order_status"])
 ask("filter_scalar", "SELECT round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag = 'R'", ["quantity"], [], {"return_flag": "R"})
 ask("filter_null", "SELECT count(l_quantity) AS lines FROM lineitem WHERE l_returnflag = NULL", ["lines"], [], {"return_flag": None})
@@ -66,10 +70,10 @@ ask("filter_only_dim", "SELECT count(l_quantity) AS lines FROM lineitem JOIN ord
 ask("join_many_to_one", f"SELECT o_orderpriority AS order_priority, round(sum(l_quantity), 2) AS quantity FROM {_LO} GROUP BY 1", ["quantity"], ["order_priority"])
 ask("join_chain", "SELECT r_name AS supplier_region, n_name AS supplier_nation, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2", ["quantity"], ["supplier_region", "supplier_nation"])
 ask("join_shared_path", f"SELECT n_name AS customer_nation, c_mktsegment AS segment, o_orderstatus AS order_status, count(l_quantity) AS lines FROM {_LO} JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3", ["lines"], ["customer_nation", "segment", "order_status"])
-ask("join_one_to_one", "SELECT lang, round(sum(quality) / nullif(count(quality), 0), 2) AS good_share FROM labels JOIN documents USING (doc_id) GROUP BY 1", ["good_share"], ["lang"])
+ask("join_one_to_one", "SELECT lang, round(sum(quality) / nullif(count(quality), 0), 6) AS good_share FROM labels JOIN documents USING (doc_id) GROUP BY 1", ["good_share"], ["lang"])
 ask("join_one_to_one_back", "SELECT toxic, sum(n_chars)::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY 1", ["chars"], ["toxic"])
 ask("agg_sum", "SELECT event_type, round(sum(value), 2) AS event_value FROM events GROUP BY 1", ["event_value"], ["event_type"])
-ask("agg_avg", "SELECT l_returnflag AS return_flag, round(avg(l_discount), 2) AS average_discount FROM lineitem GROUP BY 1", ["average_discount"], ["return_flag"])
+ask("agg_avg", "SELECT l_returnflag AS return_flag, round(avg(l_discount), 6) AS average_discount FROM lineitem GROUP BY 1", ["average_discount"], ["return_flag"])
 ask("agg_min", "SELECT l_returnflag AS return_flag, min(l_quantity) AS least_quantity FROM lineitem GROUP BY 1", ["least_quantity"], ["return_flag"])
 ask("agg_max", "SELECT o_orderstatus AS order_status, max(o_orderdate) AS last_order FROM orders GROUP BY 1", ["last_order"], ["order_status"])
 ask("agg_count", "SELECT event_type, count(value) AS events FROM events GROUP BY 1", ["events"], ["event_type"])
@@ -78,9 +82,9 @@ ask("agg_conditional", "SELECT l_linestatus AS line_status, round(sum(CASE WHEN
 ask("group_multi_dim", f"SELECT l_returnflag AS return_flag, l_linestatus AS line_status, o_orderstatus AS order_status, count(l_quantity) AS lines FROM {_LO} GROUP BY 1, 2, 3", ["lines"], ["return_flag", "line_status", "order_status"])
 ask("global_agg", "SELECT count(l_quantity) AS lines, count(DISTINCT l_orderkey) AS orders_in_lines FROM lineitem", ["lines", "orders_in_lines"])
 ask("global_agg_empty", "SELECT round(sum(l_quantity), 2) AS quantity, count(l_quantity) AS lines, count(DISTINCT l_orderkey) AS orders_in_lines FROM lineitem WHERE l_returnflag = 'none'", ["quantity", "lines", "orders_in_lines"], [], {"return_flag": "none"})
-ask("multi_metric", f"SELECT o_orderstatus AS order_status, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 2) AS average_discount, max(l_quantity) AS most_quantity, count(DISTINCT CASE WHEN o_totalprice > 200000.5 THEN l_orderkey END) AS big_orders FROM {_LO} GROUP BY 1", ["net_revenue", "quantity", "average_discount", "most_quantity", "big_orders"], ["order_status"])
+ask("multi_metric", f"SELECT o_orderstatus AS order_status, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS average_discount, max(l_quantity) AS most_quantity, count(DISTINCT CASE WHEN o_totalprice > 200000.5 THEN l_orderkey END) AS big_orders FROM {_LO} GROUP BY 1", ["net_revenue", "quantity", "average_discount", "most_quantity", "big_orders"], ["order_status"])
 ask("metric_aov", "SELECT c_mktsegment AS segment, round(sum(o_totalprice) / nullif(count(DISTINCT o_orderkey), 0), 2) AS average_order_value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1", ["average_order_value"], ["segment"])
-ask("metric_margin", f"SELECT p_brand AS brand, round((sum(l_extendedprice * (1 - l_discount)) - sum(l_quantity * p_retailprice)) / nullif(sum(l_extendedprice * (1 - l_discount)), 0), 2) AS margin FROM {_LP} GROUP BY 1", ["margin"], ["brand"])
+ask("metric_margin", f"SELECT p_brand AS brand, round((sum(l_extendedprice * (1 - l_discount)) - sum(l_quantity * p_retailprice)) / nullif(sum(l_extendedprice * (1 - l_discount)), 0), 6) AS margin FROM {_LP} GROUP BY 1", ["margin"], ["brand"])
 ask("cross_source_fact", f"SELECT l_returnflag AS return_flag, round(sum(l_quantity * p_retailprice), 2) AS retail_value FROM {_LP} GROUP BY 1", ["retail_value"], ["return_flag"])
 ask("expr_arith", "SELECT l_returnflag AS return_flag, round(sum(l_quantity * 2 - l_tax + 1.5), 2) AS arithmetic FROM lineitem GROUP BY 1", ["arithmetic"], ["return_flag"])
 ask("expr_div", "SELECT l_returnflag AS return_flag, round(avg(l_extendedprice / l_quantity), 2) AS per_unit, round(sum(l_linenumber / 2), 2) AS linenumber_half FROM lineitem GROUP BY 1", ["per_unit", "linenumber_half"], ["return_flag"])
@@ -88,7 +92,7 @@ ask("expr_unary", "SELECT l_returnflag AS return_flag, round(sum(-l_discount + l
 ask("expr_compare", "SELECT l_linestatus AS line_status, sum(CASE WHEN l_quantity >= 25 THEN l_linenumber ELSE 0 END)::BIGINT AS at_least_25, sum(CASE WHEN l_linenumber <> 1 THEN 0 ELSE 1 END)::BIGINT AS early_line FROM lineitem GROUP BY 1", ["at_least_25", "early_line"], ["line_status"])
 ask("expr_literals", "SELECT l_returnflag AS return_flag, min(CASE WHEN l_returnflag = 'A' THEN 'it''s' ELSE 'no' END) AS literals FROM lineitem GROUP BY 1", ["literals"], ["return_flag"])
 ask("fn_abs", "SELECT l_returnflag AS return_flag, round(sum(abs(l_quantity - 25)), 2) AS distance FROM lineitem GROUP BY 1", ["distance"], ["return_flag"])
-ask("fn_coalesce", "SELECT l_returnflag AS return_flag, round(avg(coalesce(nullif(l_tax, 0), 0.5)), 2) AS taxed FROM lineitem GROUP BY 1", ["taxed"], ["return_flag"])
+ask("fn_coalesce", "SELECT l_returnflag AS return_flag, round(avg(coalesce(nullif(l_tax, 0), 0.5)), 6) AS taxed FROM lineitem GROUP BY 1", ["taxed"], ["return_flag"])
 ask("fn_nullif", "SELECT l_returnflag AS return_flag, count(nullif(l_discount, 0)) AS nonzero_discount FROM lineitem GROUP BY 1", ["nonzero_discount"], ["return_flag"])
 ask("fn_if", f"SELECT l_returnflag AS return_flag, count(DISTINCT CASE WHEN o_totalprice > 200000.5 THEN l_orderkey END) AS big_orders FROM {_LO} GROUP BY 1", ["big_orders"], ["return_flag"])
 ask("fn_lower", "SELECT l_returnflag AS return_flag, max(lower(l_linestatus)) AS status_lower FROM lineitem GROUP BY 1", ["status_lower"], ["return_flag"])
