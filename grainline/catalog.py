@@ -24,7 +24,7 @@ CONNECTORS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "iceberg": (("catalog_profile", "namespace", "table"), ()),
     "sqlite": (("location", "relation"), ("key", "parts")),
     "duckdb": (("location", "relation"), ("read_only", "key", "parts")),
-    "postgres": (("connection_profile", "relation"), ()),
+    "postgres": (("connection_profile", "relation"), ("key", "parts")),
     "pyarrow": (("handle",), ()),
 }
 _COMMON = ("type", "grain", "schema", "schema_ref", "description", "status", "replaced_by")
@@ -32,11 +32,11 @@ _SECRET = re.compile(r"password|passwd|secret|token|api_?key|access_key|credenti
 _NUMERIC, _ORDERED = ("integer", "decimal", "float", "double"), ("integer", "decimal", "float", "double", "string", "boolean", "timestamp", "date")
 
 
-class _Loader(yaml.SafeLoader):
+class UniqueKeys(yaml.SafeLoader):
     """Safe YAML that rejects keys given twice."""
 
 
-def _mapping(loader: _Loader, node: yaml.MappingNode) -> dict:
+def _mapping(loader: UniqueKeys, node: yaml.MappingNode) -> dict:
     out: dict = {}
     for k, v in node.value:
         key = loader.construct_object(k)
@@ -46,16 +46,16 @@ def _mapping(loader: _Loader, node: yaml.MappingNode) -> dict:
     return out
 
 
-_Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, _mapping)
+UniqueKeys.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, _mapping)
 
 
 def load(path: str | Path) -> SemanticLayer:
     path = Path(path)
-    return build(yaml.load(path.read_text(), _Loader), path.parent)
+    return build(yaml.load(path.read_text(), UniqueKeys), path.parent)
 
 
 def loads(text: str, base: str | Path = ".") -> SemanticLayer:
-    return build(yaml.load(text, _Loader), Path(base))
+    return build(yaml.load(text, UniqueKeys), Path(base))
 
 
 class _Builder:
@@ -132,7 +132,7 @@ class _Builder:
         target = (self.base / ref).resolve()
         if not target.is_relative_to(self.base.resolve()):
             raise S.SchemaError("schema_ref leaves the catalog's folder")
-        return yaml.load(target.read_text(), _Loader)
+        return yaml.load(target.read_text(), UniqueKeys)
 
     def column(self, path: str, source: str, column: str) -> S.Field | None:
         found = self.made["data_sources"].get(source)

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import threading
+import time
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
+from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainline.errors import ExportError, SourceError
+from grainline.operators import audit
+from grainline.sources.registry import Registry
+
 #: What no export may hold, whatever its policy.
 HARD_DENY = (
     r"-----BEGIN(?: |\r?\n)[A-Z0-9 ]*PRIVATE KEY-----",
@@ -24,8 +37,10 @@ NAME_PARTS = {
     "personal": ("firstname", "first_name", "lastname", "last_name", "fullname", "full_name", "username", "user", "customer", "person"),
     "email": ("email", "e-mail", "mail"),
 }
-#: The largest sample: rows, fields.
-MAX_ROWS, MAX_FIELDS = 20, 50
+#: The largest sample in rows and fields, in bytes of one source and of a session, and revealed values a column.
+MAX_ROWS, MAX_FIELDS, MAX_SOURCE_BYTES, MAX_SESSION_BYTES, MAX_REVEALED = 20, 50, 64 * 1024, 256 * 1024, 100
+#: Fixed value: seconds that a profile may take.
+DEADLINE = 900.0
 SEPARATOR = "\x1f"
 
 
@@ -98,17 +113,18 @@ def bucketed(column: str, kind: T.DataType, least: Column, greatest: Column) ->
     return F.when(value.isNotNull(), label)
 
 
-def redacted(df: DataFrame, policy: Mapping[str, str], salt: str) -> DataFrame:
-    """df by policy: omit (also what isn't named), redact, hash, bucket or reveal. Denied columns are always omitted."""
+def redacted(df: DataFrame, policy: Mapping[str, str], salt: str, whole: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """df by policy: omit (also what isn't named), redact, hash, bucket or reveal. Denied columns are always omitted, and so
+    are fields beyond MAX_FIELDS. Buckets are ranges of whole, if df is a sample of it; keep: columns left as they are."""
     wanted = [f for f in df.schema if policy.get(f.name, "omit") != "omit" and not classify(f.name, f.dataType)[1]][:MAX_FIELDS]
     ranges = [f.name for f in wanted if policy[f.name] == "bucket" and isinstance(f.dataType, T.NumericType)]
-    ends = df.agg(F.lit(1).alias("one"), *[x for n in ranges for x in (F.min(f"`{n}`").cast("double").alias(f"least {n}"), F.max(f"`{n}`").cast("double").alias(f"greatest {n}"))])
+    ends = (df if whole is None else whole).agg(F.lit(1).alias("one"), *[x for n in ranges for x in (F.min(f"`{n}`").cast("double").alias(f"least {n}"), F.max(f"`{n}`").cast("double").alias(f"greatest {n}"))])
     kinds = {
         "redact": lambda f: F.when(F.col(f"`{f.name}`").isNotNull(), F.lit("non_null")), "hash": lambda f: hashed(f.name, salt), "reveal": lambda f: F.col(f"`{f.name}`"),
         "bucket": lambda f: bucketed(f.name, f.dataType, F.col(f"`least {f.name}`") if f.name in ranges else F.lit(None), F.col(f"`greatest {f.name}`") if f.name in ranges else F.lit(None)),
     }
     with_ends = df.join(F.broadcast(ends), F.lit(True)) if ranges else df  # one row
-    return with_ends.select(*[kinds[policy[f.name]](f).alias(f.name) for f in wanted])
+    return with_ends.select(*keep, *[kinds[policy[f.name]](f).alias(f.name) for f in wanted])
 
 
 def denied(text: Column) -> Column:
@@ -117,3 +133,170 @@ def denied(text: Column) -> Column:
     for pattern in HARD_DENY:
         found = found | text.rlike(pattern)
     return F.coalesce(found, F.lit(False))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What a profile run found; figures only of a completed run. No figure is a text of the source."""
+
+    source: str
+    mode: str  # reopenable: the content has a token; live: it may change any time
+    outcome: str  # completed or unavailable
+    reason: str | None  # timeout, cancelled, iterator_failure or unsupported_type
+    schema_fingerprint: str
+    snapshot: str | None
+    row_count: int | None = None
+    duplicate_rows: int | None = None
+    columns: tuple[Mapping[str, Any], ...] = ()
+
+    def fingerprint(self) -> str:
+        return _fingerprint(asdict(self))
+
+
+def _fingerprint(value: Any) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest()
+
+
+def run(registry: Registry, source: str, grain: Sequence[str] = (), deadline: float = DEADLINE, cancel: threading.Event | None = None) -> Profile:
+    """Profiles a source in jobs under one tag, which a watcher stops at the deadline or when cancel is set."""
+    spark, status, df = registry.spark, registry.status(source), registry.read(source)
+    mode = "live" if status.snapshot is None else "reopenable"
+
+    def unavailable(reason: str) -> Profile:
+        return Profile(source, mode, "unavailable", reason, status.schema_fingerprint, status.snapshot)
+
+    if not all(supported(f.dataType) for f in df.schema):
+        return unavailable("unsupported_type")
+    tag, done, stopped, end = f"profile-{uuid.uuid4().hex}", threading.Event(), [], time.monotonic() + deadline
+
+    def watch() -> None:
+        while not done.wait(0.05):
+            reason = "cancelled" if cancel is not None and cancel.is_set() else "timeout" if time.monotonic() >= end else None
+            if reason:
+                stopped.append(reason)
+                spark.interruptTag(tag)  # again until the run is over: a next job may have begun
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.addTag(tag)
+    watcher.start()
+    try:
+        figures = tuple(r.asDict() for r in columns(df).orderBy("column_name").collect())
+        counts = audit.grain(df, tuple(grain)).first() if grain and not stopped else None
+        if not stopped:
+            registry.check_snapshot(source, status.snapshot)
+    except (PySparkException, Py4JError, SourceError):
+        return unavailable(stopped[0] if stopped else "iterator_failure")
+    finally:
+        done.set()
+        watcher.join()
+        spark.removeTag(tag)
+    if stopped:
+        return unavailable(stopped[0])
+    return Profile(source, mode, "completed", None, status.schema_fingerprint, status.snapshot, figures[0]["row_count"] if figures else 0, counts["duplicate_row_count"] if counts else None, figures)
+
+
+@dataclass(frozen=True)
+class Caps:
+    """Limits of an export; they may be lower than the fixed ones, never higher."""
+
+    rows: int = MAX_ROWS
+    fields: int = MAX_FIELDS
+    bytes_per_source: int = MAX_SOURCE_BYTES
+    bytes_per_session: int = MAX_SESSION_BYTES
+    revealed_values: int = MAX_REVEALED
+
+    def __post_init__(self) -> None:
+        most = (MAX_ROWS, MAX_FIELDS, MAX_SOURCE_BYTES, MAX_SESSION_BYTES, MAX_REVEALED)
+        for (name, value), limit in zip(asdict(self).items(), most, strict=True):
+            if type(value) is not int or value < 1:
+                raise ExportError("policy_invalid", name)
+            if value > limit:
+                raise ExportError("cap_exceeded", name)
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What an export shows of each column; columns that aren't named are omitted. bound: what it was activated for."""
+
+    source: str
+    grain: tuple[str, ...]
+    transforms: Mapping[str, str]
+    caps: Caps = Caps()
+    bound: str | None = None
+
+    def binding(self, profile: Profile) -> str:
+        return _fingerprint([self.source, self.grain, dict(self.transforms), asdict(self.caps), profile.fingerprint()])
+
+
+def propose(profile: Profile, grain: Sequence[str]) -> Policy:
+    """The policy to begin with: every column is omitted."""
+    if profile.outcome != "completed":
+        raise ExportError("not_available", profile.source)
+    names = [c["column_name"] for c in profile.columns]
+    return Policy(profile.source, tuple(c for c in grain if c in names), dict.fromkeys(names, "omit"))
+
+
+def activate(policy: Policy, profile: Profile, schema: T.StructType) -> Policy:
+    """The policy, bound to its profile; ExportError where it shows too much."""
+    if profile.outcome != "completed" or profile.source != policy.source:
+        raise ExportError("not_available", policy.source)
+    if not policy.grain:
+        raise ExportError("grain_required", policy.source)
+    distinct = {c["column_name"]: c["distinct_count"] for c in profile.columns}
+    shown = {n: t for n, t in policy.transforms.items() if t != "omit"}
+    if not set(policy.transforms) <= set(distinct) or not set(shown.values()) <= {"redact", "hash", "bucket", "reveal"}:
+        raise ExportError("policy_invalid", "transform")
+    if len(shown) > policy.caps.fields:
+        raise ExportError("cap_exceeded", "fields")
+    for name, transform in shown.items():
+        if classify(name, schema[name].dataType)[1] and transform == "reveal":
+            raise ExportError("policy_invalid", "a denied field")
+        if transform == "reveal" and distinct[name] > policy.caps.revealed_values:
+            raise ExportError("cap_exceeded", "revealed_values")
+    return Policy(policy.source, policy.grain, policy.transforms, policy.caps, policy.binding(profile))
+
+
+@dataclass(frozen=True)
+class Export:
+    """Redacted rows of one source and what they are bound to."""
+
+    source: str
+    binding: str
+    snapshot: str | None
+    grain: tuple[str, ...]
+    rows: tuple[Mapping[str, Any], ...]
+    bytes: int
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(_payload(self.rows, self.grain)).hexdigest()
+
+
+def _payload(rows: Sequence[Mapping[str, Any]], grain: Sequence[str]) -> bytes:
+    return json.dumps({"rows": [dict(r) for r in rows], "grain": list(grain)}, sort_keys=True, ensure_ascii=False, default=str).encode()
+
+
+def sampled(df: DataFrame, policy: Policy, salt: str) -> DataFrame:
+    """(row_key, shown columns) of the sample's rows; buckets are ranges of the whole column."""
+    return redacted(sample(df, policy.source, policy.grain, salt, policy.caps.rows), policy.transforms, salt, whole=df, keep=("row_key",))
+
+
+def export(df: DataFrame, policy: Policy, profile: Profile, salt: str, used: int = 0) -> Export:
+    """The sample by an activated policy; rows with the largest keys go until the bytes of the source and of what is left of
+    the session hold them. ExportError if one row is too large, or if anything shown looks like a credential."""
+    if policy.bound is None or policy.bound != policy.binding(profile):
+        raise ExportError("policy_stale", policy.source)
+    if used >= policy.caps.bytes_per_session:
+        raise ExportError("cap_exceeded", "bytes_per_session")
+    found = sorted((r.asDict() for r in sampled(df, policy, salt).collect()), key=lambda r: r["row_key"])  # at most MAX_ROWS
+    rows = [{k: v for k, v in r.items() if k != "row_key"} for r in found]
+    if any(re.search(p, str(v)) for r in rows for v in r.values() for p in HARD_DENY):
+        raise ExportError("canary_leak", policy.source)
+    for limit, name in ((policy.caps.bytes_per_source, "bytes_per_source"), (policy.caps.bytes_per_session - used, "bytes_per_session")):
+        while len(rows) > 1 and len(_payload(rows, policy.grain)) > limit:
+            rows.pop()
+        if len(_payload(rows, policy.grain)) > limit:
+            raise ExportError("cap_exceeded", name)
+    payload = _payload(rows, policy.grain)
+    if any(re.search(p, payload.decode()) for p in HARD_DENY):
+        raise ExportError("canary_leak", policy.source)
+    return Export(policy.source, policy.bound, profile.snapshot, policy.grain, tuple(rows), len(payload))

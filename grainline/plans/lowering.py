@@ -59,12 +59,12 @@ def aggregate(kind: str, value: Column, data_type: T.DataType) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}[kind](value)
 
 
-def lower(layer: SemanticLayer, plan: Plan, read: Callable[[str], DataFrame]) -> DataFrame:
-    """The plan's DataFrame; read gives a source's."""
+def lower(layer: SemanticLayer, plan: Plan, read: Callable[[str, list[str]], DataFrame]) -> DataFrame:
+    """The plan's DataFrame; read gives a source's columns."""
     wanted = needed_columns(layer, plan)
 
     def part(source: str) -> DataFrame:
-        return read(source).select(*[F.col(f"`{c}`").alias(name_of(source, c)) for c in wanted[source]])
+        return read(source, wanted[source]).select(*[F.col(f"`{c}`").alias(name_of(source, c)) for c in wanted[source]])
 
     df, joined = part(plan.anchor), {plan.anchor}
     for link in plan.joins:

@@ -201,6 +201,14 @@ def transform_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.redacted(orders, {"o_totalprice": "bucket", "o_orderdate": "bucket", "o_orderkey": "reveal"}, SALT)
 
 
+@register(f"""SELECT row_key, CASE WHEN r <= 0.25 THEN 'b0' WHEN r <= 0.5 THEN 'b1' WHEN r <= 0.75 THEN 'b2' ELSE 'b3' END AS c_acctbal, sha256('{SALT}' || chr(31) || 'c_name' || chr(31) || c_name) AS c_name, c_mktsegment
+FROM (SELECT *, sha256('{SALT}' || chr(31) || 'customer' || chr(31) || c_custkey) AS row_key, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS r FROM customer) ORDER BY row_key LIMIT 20""")
+def context_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (customer,) = _read(spark, sf_dir, "customer")
+    policy = profile.Policy("customer", ("c_custkey",), {"c_acctbal": "bucket", "c_name": "hash", "c_mktsegment": "reveal"})
+    return profile.sampled(customer, policy, SALT)
+
+
 @register(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '-----BEGIN(?: |\r?\n)[A-Z0-9 ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b')")
 def hard_deny_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     (documents,) = _read(spark, sf_dir, "documents")

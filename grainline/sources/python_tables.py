@@ -1,36 +1,69 @@
-"""Spark data sources over SQLite and DuckDB files, read only, with projection left to Spark.
+"""Spark data sources over SQLite and DuckDB files, read only.
 
-Options: path, relation, key (a whole-number column) and parts: with a key the table is read in parts, key modulo parts.
+Options: path, relation, key (a whole-number column) and parts: with a key the table is read in parts, key modulo
+parts. Only the columns of the schema that a read is given are fetched; filters that a file can take are sent to it, and
+Spark applies all of them again, so that a file's own rules of comparison never decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from grainline.sources.schema import arrow_type, spark_type
 
 BATCH = 8_192
+_ORDERS = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
-def quoted(name: str) -> str:
-    return ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
+def quoted_name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def quoted(relation: str) -> str:
+    return ".".join(map(quoted_name, relation.split(".")))
+
+
+def literal(value: object) -> str:
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+
+def condition(f: Filter) -> str | None:
+    """SQL that is true wherever the filter is, or None: of whole numbers, of equal texts, and of what is not null."""
+    if len(getattr(f, "attribute", ())) != 1:
+        return None
+    column = quoted_name(f.attribute[0])
+    if isinstance(f, IsNotNull):
+        return f"{column} is not null"
+    whole, text = (lambda v: type(v) is int), (lambda v: type(v) is str and "\0" not in v)
+    if isinstance(f, EqualTo) and (whole(f.value) or text(f.value)):
+        return f"{column} = {literal(f.value)}"
+    if type(f) in _ORDERS and whole(f.value):
+        return f"{column} {_ORDERS[type(f)]} {f.value}"
+    if isinstance(f, In) and f.value and (all(map(whole, f.value)) or all(map(text, f.value))):
+        return f"{column} in ({', '.join(map(literal, f.value))})"
+    return None
 
 
 class FileTableReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.names, self.options = schema.names, dict(options)
+        self.names, self.options, self.conditions = schema.names, dict(options), []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        self.conditions = [c for c in map(condition, filters) if c]
+        return filters
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(int(self.options.get("parts", 1)) if "key" in self.options else 1)]
 
     def statement(self, part: int) -> str:
-        columns, parts = ", ".join(map(quoted, self.names)), int(self.options.get("parts", 1))
-        where = f" where coalesce({quoted(self.options['key'])}, 0) % {parts} in ({part}, {part - parts if part else 0})" if "key" in self.options else ""
-        return f"select {columns} from {quoted(self.options['relation'])}{where}"
+        columns, parts, wanted = ", ".join(map(quoted_name, self.names)), int(self.options.get("parts", 1)), list(self.conditions)
+        if "key" in self.options:
+            wanted.append(f"coalesce({quoted_name(self.options['key'])}, 0) % {parts} in ({part}, {part - parts if part else 0})")
+        return f"select {columns} from {quoted(self.options['relation'])}" + (f" where {' and '.join(wanted)}" if wanted else "")
 
 
 class SQLiteReader(FileTableReader):

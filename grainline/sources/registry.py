@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,14 @@ class Reloaded:
 
 
 class Registry:
-    """Readers of all sources of a layer. The lock guards publication only; plans run without it."""
+    """Readers of all sources of a layer. The lock guards publication only; plans run without it.
+
+    A reload waits until scans that other threads have open are closed.
+    """
 
     def __init__(self, spark: SparkSession, layer: SemanticLayer, profiles: Profiles | None = None):
         self.spark, self.layer, self.profiles = spark, layer, profiles or Profiles()
-        self._lock = threading.RLock()
+        self._lock, self._scans, self._open = threading.RLock(), threading.Condition(), {}
         self._ready = {name: self._candidate(name) for name in sorted(layer.data_sources)}
         self._status = {name: self._state(name, p, 1) for name, p in self._ready.items()}
 
@@ -49,18 +53,31 @@ class Registry:
     def _state(self, name: str, prepared: Prepared, generation: int) -> Status:
         return Status(name, self.layer.data_sources[name].kind, generation, prepared.snapshot, self.layer.data_sources[name].schema.fingerprint())
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """The source's rows: all its columns, or those named."""
         with self._lock:
             reader = self._ready[name].read
-        return reader()
+        return reader(columns)
 
     def status(self, name: str) -> Status:
         with self._lock:
             return self._status[name]
 
+    def pin(self, tag: str) -> None:
+        """A scan of this thread is open."""
+        with self._scans:
+            self._open[tag] = threading.get_ident()
+
+    def unpin(self, tag: str) -> None:
+        with self._scans:
+            self._open.pop(tag, None)
+            self._scans.notify_all()
+
     def reload(self, *names: str) -> list[Reloaded]:
         """New readers of the named sources, or of all: published together, or not at all."""
         wanted = sorted(names or self.layer.data_sources)
+        with self._scans:
+            self._scans.wait_for(lambda: set(self._open.values()) <= {threading.get_ident()})
         with self._lock:
             try:
                 fresh = {name: self._candidate(name) for name in wanted}

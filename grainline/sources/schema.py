@@ -181,6 +181,20 @@ def spark_type(kind: Any) -> T.DataType:
     raise SchemaError(f"Spark has no type for {name}")
 
 
+def to_arrow(field: Field) -> pa.Field:
+    """A column of batches: the declared scalar, decimal or timestamp, and Spark's form of nested types."""
+    parts = None if isinstance(field.type, str) else field.type[field.kind]
+    if parts is None:
+        kind = SCALARS[field.type]
+    elif field.kind == "decimal":
+        kind = pa.decimal128(parts["precision"], parts["scale"])
+    elif field.kind == "timestamp":
+        kind = pa.timestamp(parts["unit"], parts.get("timezone"))
+    else:
+        kind = to_arrow_type(spark_type(field.type))
+    return pa.field(field.name, kind, field.nullable)
+
+
 def spark_schema(schema: TableSchema) -> T.StructType:
     return T.StructType([T.StructField(f.name, spark_type(f.type), f.nullable) for f in schema.fields])
 

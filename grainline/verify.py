@@ -62,6 +62,37 @@ class Report:
         return json.dumps({"passed": self.passed, "complete": self.complete, "outcomes": [asdict(o) for o in self.outcomes], "diagnostics": [asdict(d) for d in self.diagnostics]}, sort_keys=True)
 
 
+@dataclass(frozen=True)
+class StaticCheck:
+    """Rules of the catalog alone."""
+
+
+@dataclass(frozen=True)
+class CompatibilityCheck:
+    """What the planner accepts, and given requests."""
+
+    cases: tuple[Request, ...] = ()
+
+
+@dataclass(frozen=True)
+class PhysicalCheck:
+    """Full scans of all sources."""
+
+    spark: SparkSession
+    profiles: Profiles | None = None
+
+
+def verify(layer: SemanticLayer, check: StaticCheck | CompatibilityCheck | PhysicalCheck) -> Report:
+    match check:
+        case StaticCheck():
+            return static(layer)
+        case CompatibilityCheck(cases):
+            return compatibility(layer, cases)
+        case PhysicalCheck(spark, profiles):
+            return physical(layer, spark, profiles)
+    raise TypeError("a check is static, of compatibility or physical")
+
+
 def _report(outcomes: list[Outcome], diagnostics: list[Diagnostic], complete: bool = True) -> Report:
     return Report(tuple(sorted(outcomes, key=lambda o: (o.path, o.check_id))), tuple(sorted(diagnostics, key=lambda d: (d.severity, d.code, d.path))), complete)
 

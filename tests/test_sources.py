@@ -1,16 +1,20 @@
 import sqlite3
+import threading
 
 import duckdb
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
 from grainline.catalog import loads
 from grainline.engine import SemanticEngine
-from grainline.errors import SourceError
+from grainline.errors import SourceConnectionError, SourceDependencyError, SourceError, SourceProfileError, SourceSchemaError
 from grainline.operators import profile
 from grainline.sources import schema as S
+from grainline.sources import readers
+from grainline.sources.python_tables import DuckDBReader, condition
 from grainline.sources.readers import Profiles, prepare
 
 FIELDS = "[{name: id, type: int64, nullable: false}, {name: name, type: utf8}, {name: x, type: float64}]"
@@ -102,6 +106,74 @@ def test_tables_are_read_in_parts(spark, tmp_path):
                 engine(spark, f"{source}, {wrong}")
 
 
+def test_python_sources_fetch_what_a_query_needs(spark, tmp_path):
+    made = duckdb.connect(str(tmp_path / "t.duckdb"))
+    made.execute("create table t (id bigint not null, name varchar, x double)")
+    made.executemany("insert into t values (?, ?, ?)", [*ROWS, (4, "it's", 9.0)])
+    made.close()
+    here = engine(spark, f"type: duckdb, location: '{tmp_path}/t.duckdb', relation: t")
+    plan = here.query(["x"], ["name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "id" not in plan.split("RelationV2[")[1].split("]")[0]
+    assert here.query(["x"], ["name"], {"name": "it's"}).collect()[0].asDict() == {"name": "it's", "x": 9.0}
+    assert {r["name"] for r in here.query(["x"], ["name"], {"name": ["a", "c, d", None]}).collect()} == {"a", "c, d"}
+    reader = DuckDBReader(T.StructType().add("x", "double"), {"relation": "main.t", "key": "id", "parts": "2"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull
+
+    given = [EqualTo(("name",), "it's"), GreaterThan(("id",), 2), In(("id",), (1, 4)), IsNotNull(("name",)), GreaterThan(("x",), 1.0), EqualTo(("a", "b"), 1)]
+    assert list(reader.pushFilters(given)) == given and condition(given[4]) is None and condition(given[5]) is None
+    assert reader.statement(1) == """select "x" from "main"."t" where "name" = 'it''s' and "id" > 2 and "id" in (1, 4) and "name" is not null and coalesce("id", 0) % 2 in (1, -1)"""
+
+
+def test_dataset_files_are_read_by_tasks(spark, tmp_path):
+    for i in range(3):
+        pq.write_table(table().slice(i, 1), tmp_path / f"{i}.parquet")
+    made = engine(spark, "type: pyarrow, handle: h", Profiles(arrow={"h": lambda: ds.dataset(tmp_path, schema=table().schema)}))
+    check(made)
+    assert made.registry.read("t").rdd.getNumPartitions() == 3 and made.registry.read("t", ["x"]).columns == ["x"]
+    assert "LocalTableScan" not in made.registry.read("t", ["x"])._jdf.queryExecution().optimizedPlan().toString().replace("LocalRelation", "") and made.registry.read("t").count() == 3
+
+
+def test_digests_and_footers_are_the_same_by_tasks_and_by_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        pq.write_table(table().slice(i, 1), tmp_path / f"{i}.parquet")
+    monkeypatch.setattr(readers, "RANGE_BYTES", 256)
+    here = readers.digest(spark, str(tmp_path))
+    monkeypatch.setattr(readers, "FEW", 0)
+    assert readers.digest(spark, str(tmp_path)) == here
+    check(engine(spark, f"type: parquet, location: '{tmp_path}'"))
+    pq.write_table(table().drop_columns(["x"]), tmp_path / "2.parquet")
+    assert readers.digest(spark, str(tmp_path)) != here
+    with pytest.raises(SourceSchemaError):  # one file of three differs
+        engine(spark, f"type: parquet, location: '{tmp_path}'")
+
+
+def test_digest_of_a_database_holds_its_journal(spark, tmp_path):
+    (tmp_path / "t.db").write_bytes(b"x")
+    before = readers.digest(spark, str(tmp_path / "t.db"), ("-wal",))
+    (tmp_path / "t.db-wal").write_bytes(b"y")
+    assert readers.digest(spark, str(tmp_path / "t.db"), ("-wal",)) != before == readers.digest(spark, str(tmp_path / "t.db"))
+
+
+def test_profile_files(tmp_path):
+    path = tmp_path / "p.yaml"
+    path.write_text("version: 1\nprofiles:\n  p:\n    password:\n      env: SECRET\n    ssl:\n      literal: true\n")
+    made = Profiles.from_file(path, {"SECRET": "hidden"})
+    assert dict(made.get("p", "t")) == {"password": "hidden", "ssl": "true"} and "hidden" not in repr(made)
+    good = path.read_text()
+    for old, new in (("version: 1", "version: 2"), ("version: 1", "version: true"), ("env: SECRET", "env: OTHER"), ("literal: true", "literal: 1"), ("env: SECRET", "text: hidden"), ("  p:", "  P-1:"), ("version: 1", "version: 1\nversion: 1"), ("    ssl:", "    password:")):
+        path.write_text(good.replace(old, new))
+        with pytest.raises(SourceProfileError) as error:
+            Profiles.from_file(path, {"SECRET": "hidden"})
+        assert "hidden" not in str(error.value) and str(tmp_path) not in str(error.value)
+    with pytest.raises(SourceProfileError):
+        Profiles.from_file(tmp_path / "none.yaml")
+
+
+def test_errors_are_of_the_class_of_their_code():
+    assert isinstance(SourceError("scan_failed", "t"), SourceConnectionError) and isinstance(SourceError("missing_delta_dependency", "t"), SourceDependencyError)
+    assert SourceError("password=1", "t").code == "unknown" and "password" not in str(SourceError("password=1", "t"))
+
+
 def test_sqlite(spark, tmp_path):
     connection = sqlite3.connect(tmp_path / "t.db")
     connection.execute("create table t (id integer not null, name text, x real)")
@@ -143,6 +215,38 @@ def test_scan_session(spark, tmp_path):
         made.scan("t", ["none"])
 
 
+def test_batches_have_the_declared_types(spark, tmp_path):
+    fields = "[{name: id, type: uint32, nullable: false}, {name: name, type: large_utf8}, {name: x, type: float64}, {name: at, type: {timestamp: {unit: ms}}}, {name: l, type: {list: {element: int64}}}]"
+    schema = pa.schema([pa.field("id", pa.uint32(), False), ("name", pa.large_utf8()), ("x", pa.float64()), ("at", pa.timestamp("ms")), pa.field("l", pa.list_(pa.int64()))])
+    rows = pa.table([[1, 2, 3], [None, None, "c"], [None, 0.5, None], [0, None, 5], [[1], None, []]], schema=schema)
+    pq.write_table(rows, tmp_path / "t.parquet")
+    made = engine(spark, f"type: parquet, location: '{tmp_path}/t.parquet', nullability: declared", fields=fields)
+    with made.scan("t", batch_size=2) as session:
+        found = list(session.batches())
+        assert {b.schema for b in found} == {session.schema}  # a batch of nulls alone has the same types
+        assert [f.type for f in session.schema][:4] == [f.type for f in schema][:4]
+        assert [r for b in found for r in b.to_pylist()] == rows.to_pylist()
+
+
+def test_a_cancelled_session_is_of_no_use_and_reloads_wait(spark, tmp_path):
+    pq.write_table(table(), tmp_path / "t.parquet")
+    made = engine(spark, f"type: parquet, location: '{tmp_path}/t.parquet'")
+    session, done = made.scan("t", batch_size=1), threading.Event()
+    running = session.batches()
+    next(running)
+    with pytest.raises(SourceError):
+        next(session.batches())
+    waiting = threading.Thread(target=lambda: (made.registry.reload("t"), done.set()))
+    waiting.start()
+    assert not done.wait(1)
+    session.cancel()
+    with pytest.raises(SourceError):
+        next(running)
+    assert done.wait(60)
+    with pytest.raises(SourceError):
+        next(session.batches())
+
+
 def test_schema_compare_and_fingerprint():
     want = S.declared({"fields": [{"name": "a", "type": "int64", "nullable": False}, {"name": "b", "type": {"decimal": {"precision": 10, "scale": 2}}}]})
     assert S.compare(want, want) == []

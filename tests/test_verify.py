@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from helpers import SF
 from grainline import verify
 from grainline.catalog import loads
@@ -19,6 +20,15 @@ def test_static():
     assert "catalog.deprecation.cycle" in {d.code for d in verify.static(loads(cycle)).diagnostics}
 
 
+def test_one_way_to_all_checks(spark):
+    assert verify.verify(loads(BASE), verify.StaticCheck()) == verify.static(loads(BASE))
+    case = Request.of(["quantity"], ["none"])
+    assert verify.verify(star.layer(SF), verify.CompatibilityCheck((case,))) == verify.compatibility(star.layer(SF), [case])
+    assert not verify.verify(loads(BASE), verify.PhysicalCheck(spark)).complete
+    with pytest.raises(TypeError):
+        verify.verify(loads(BASE), "static")
+
+
 def test_compatibility():
     report = verify.compatibility(star.layer(SF), [Request.of(["quantity"], ["none"])])
     assert report.passed
