@@ -174,10 +174,10 @@ def run(registry: Registry, source: str, grain: Sequence[str] = (), deadline: fl
             reason = "cancelled" if cancel is not None and cancel.is_set() else "timeout" if time.monotonic() >= end else None
             if reason:
                 stopped.append(reason)
-                spark.interruptTag(tag)  # again until the run is over: a next job may have begun
+                spark.sparkContext.cancelJobsWithTag(tag)  # again until the run is over: a next job may have begun
 
     watcher = threading.Thread(target=watch, daemon=True)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     watcher.start()
     try:
         figures = tuple(r.asDict() for r in columns(df).orderBy("column_name").collect())
@@ -189,7 +189,7 @@ def run(registry: Registry, source: str, grain: Sequence[str] = (), deadline: fl
     finally:
         done.set()
         watcher.join()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     if stopped:
         return unavailable(stopped[0])
     return Profile(source, mode, "completed", None, status.schema_fingerprint, status.snapshot, figures[0]["row_count"] if figures else 0, counts["duplicate_row_count"] if counts else None, figures)

@@ -51,7 +51,7 @@ class ScanSession:
                     yield pa.record_batch({"batch": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("batch", pa.binary())]))
 
         self.registry.pin(self.tag)
-        spark.addTag(self.tag)
+        spark.sparkContext.addJobTag(self.tag)
         try:
             for row in self.frame().mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=False):
                 with pa.ipc.open_stream(pa.py_buffer(row["batch"])) as stream:
@@ -63,7 +63,7 @@ class ScanSession:
         except (PySparkException, Py4JError, pa.ArrowException, ValueError):
             raise SourceError("scan_failed", self.source) from None
         finally:
-            spark.removeTag(self.tag)
+            spark.sparkContext.removeJobTag(self.tag)
             self.active = False
             if not self.within:
                 self.registry.unpin(self.tag)
@@ -71,7 +71,7 @@ class ScanSession:
     def cancel(self) -> None:
         """Stops jobs that run; the session is of no use afterwards."""
         self.closed = True
-        self.registry.spark.interruptTag(self.tag)
+        self.registry.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def close(self) -> None:
         self.cancel()
