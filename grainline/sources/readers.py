@@ -12,10 +12,8 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
-import pyarrow.parquet as pq
 import yaml
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from grainline.catalog import UniqueKeys
 from grainline.errors import CatalogError, SourceError
 from grainline.model import DataSource
+from grainline.sources import ranges
 from grainline.sources import schema as S
 from grainline.sources.python_tables import DuckDBTable, SQLiteTable, quoted_name
 
@@ -108,23 +107,19 @@ def _files(location: str) -> list[str] | None:
     return sorted(glob.glob(path)) if glob.has_magic(path) else [path]
 
 
-def each(spark: SparkSession, items: Sequence[tuple], names: str, work: Callable[..., bytes]) -> list[bytes]:
-    """work on every item, in order: a few on the driver, more by tasks. Results are digests or schemas, a few bytes each."""
+def each(spark: SparkSession, items: Sequence[tuple], work: Callable[..., bytes]) -> list[bytes]:
+    """work on every item, in order: a few on the driver, more by tasks. Results are digests or schemas, a few bytes each.
+
+    Python workers hold what work's module imports, and no Arrow or pandas beside it: the items go out as an Arrow table,
+    which the JVM reads, to a plain function. The order is made here; a sort by Spark does all work twice, once for its sample.
+    """
     if len(items) <= FEW:
         return [work(*item) for item in items]
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"i": batch["i"], "result": [work(*row) for row in batch.drop(columns="i").itertuples(index=False)]})
-
-    rows = spark.createDataFrame([(i, *item) for i, item in enumerate(items)], f"i long, {names}")
-    return [r["result"] for r in rows.repartition(min(len(items), 4 * spark.sparkContext.defaultParallelism), "i").mapInPandas(part, "i long, result binary").orderBy("i").collect()]
-
-
-def _range_digest(name: str, start: int) -> bytes:
-    with open(name, "rb") as f:
-        f.seek(start)
-        return hashlib.sha256(f.read(RANGE_BYTES)).digest()
+    names = [f"c{k}" for k in range(len(items[0]))]
+    rows = spark.createDataFrame(pa.table([range(len(items)), *zip(*items, strict=True)], ["i", *names]))
+    dealt = rows.repartition(min(len(items), 4 * spark.sparkContext.defaultParallelism), "i")
+    found = dealt.select("i", F.udf(work, "binary", useArrow=False)(*names).alias("result")).collect()
+    return [r["result"] for r in sorted(found, key=lambda r: r["i"])]
 
 
 def digest(spark: SparkSession, location: str, beside: Iterable[str] = ()) -> str | None:
@@ -137,17 +132,13 @@ def digest(spark: SparkSession, location: str, beside: Iterable[str] = ()) -> st
         return None
     files = files + [n + end for n in files for end in beside if os.path.exists(n + end)]
     root = os.path.commonpath(files) if len(files) > 1 else os.path.dirname(files[0])
-    ranges = [(n, start) for n in files for start in range(0, max(os.path.getsize(n), 1), RANGE_BYTES)]
+    parts = [(n, start, RANGE_BYTES) for n in files for start in range(0, max(os.path.getsize(n), 1), RANGE_BYTES)]
     out = hashlib.sha256()
-    for (name, start), found in zip(ranges, each(spark, ranges, "name string, start long", _range_digest), strict=True):
+    for (name, start, _), found in zip(parts, each(spark, parts, ranges.digest), strict=True):
         out.update(f"{os.path.relpath(name, root)}\0{start}\0".encode() + found)
     return out.hexdigest()
 
 
-def _footer(name: str) -> bytes:
-    return pq.read_schema(name).remove_metadata().serialize().to_pybytes()
-
-
 def _nanos(df: DataFrame, schema: S.TableSchema) -> DataFrame:
     """Nanosecond timestamps, read as whole numbers, become naive timestamps of microseconds."""
     for f in schema.fields:
@@ -204,7 +195,7 @@ def _parquet(spark: SparkSession, source: DataSource, profiles: Profiles) -> Pre
 
     files = _files(location)
     if files:  # footers keep nullability, Spark's schema doesn't; of files that differ, one that isn't as declared speaks
-        footers = dict.fromkeys(each(spark, [(n,) for n in files], "name string", _footer))
+        footers = dict.fromkeys(each(spark, [(n,) for n in files], ranges.footer))
         seen = [S.from_arrow(pa.ipc.read_schema(pa.py_buffer(f))) for f in footers]
         observed = next((o for o in seen if S.compare(source.schema, o)), seen[0])
     else:

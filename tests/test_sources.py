@@ -1,5 +1,9 @@
+import hashlib
 import sqlite3
+import subprocess
+import sys
 import threading
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -147,6 +151,40 @@ def test_digests_and_footers_are_the_same_by_tasks_and_by_the_driver(spark, tmp_
         engine(spark, f"type: parquet, location: '{tmp_path}'")
 
 
+def test_tasks_and_the_driver_digest_the_same_ranges_once(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"{i}").write_bytes(bytes(range(i, i + 100)) * 10)
+    monkeypatch.setattr(readers, "RANGE_BYTES", 256)
+    monkeypatch.setattr(readers, "FEW", 100)
+    here = readers.digest(spark, str(tmp_path))
+    monkeypatch.setattr(readers, "FEW", 0)
+    assert readers.digest(spark, str(tmp_path)) == here
+    log = tmp_path / "log"
+
+    def noted(name: str, k: int) -> bytes:
+        with open(name, "a") as f:
+            f.write(f"{k}\n")
+        return str(k).encode()
+
+    assert readers.each(spark, [(str(log), k) for k in range(40, 0, -1)], noted) == [str(k).encode() for k in range(40, 0, -1)]
+    assert sorted(map(int, log.read_text().split())) == list(range(1, 41))
+
+
+def test_a_range_is_not_held_as_a_whole_nor_with_it_pandas(tmp_path):
+    data, name = bytes(range(251)) * 64_000, str(tmp_path / "t")
+    (tmp_path / "t").write_bytes(data)
+    code = f"""import sys, tracemalloc
+from grainline.sources.ranges import digest
+print(*[m for m in ("pandas", "pyarrow", "duckdb") if m in sys.modules])
+tracemalloc.start()
+for start, length in ((0, 64 << 20), (1_000_003, 3_000_001), (0, 0), ({len(data)}, 5)):
+    print(digest({name!r}, start, length).hex())
+print(tracemalloc.get_traced_memory()[1])"""
+    held, *digests, peak = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True).stdout.split("\n")[:-1]
+    assert digests == [hashlib.sha256(part).hexdigest() for part in (data, data[1_000_003:4_000_004], b"", b"")]
+    assert held == "" and int(peak) < 4 << 20
+
+
 def test_digest_of_a_database_holds_its_journal(spark, tmp_path):
     (tmp_path / "t.db").write_bytes(b"x")
     before = readers.digest(spark, str(tmp_path / "t.db"), ("-wal",))
